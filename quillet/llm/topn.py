@@ -13,21 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.session import cut
-
-
-def run_items(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Usable items of nested rankings: one row (``keys``, ``doc_id``, ``score``) per document.
-
-    All slices are read together; a document's score is its highest. Items that are null or
-    have a null id or a null or NaN score do not exist; null and empty lists have no items.
-    """
-    return (
-        runs.select(*keys, F.explode("ranked").alias("_i"))
-        .select(*keys, F.col("_i.doc_id").alias("doc_id"), F.col("_i.score").alias("score"))
-        .filter("doc_id is not null and score is not null and not isnan(score)")
-        .groupBy(*keys, "doc_id")
-        .agg(F.max("score").alias("score"))
-    )
+from quillet.sources.rankings import run_items
 
 
 def top_n(
