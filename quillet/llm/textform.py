@@ -64,7 +64,7 @@ def canonical_sql(text: str) -> str:
     # A word is drawn in Latin letters if each of its letters is Latin or looks so.
     mixed = (
         "array_to_string(list_transform(regexp_extract_all(t1, '[\\p{L}\\p{M}\\p{N}]+|[^\\p{L}\\p{M}\\p{N}]+'), "
-        f"lambda w: CASE WHEN regexp_matches({word}, {_quoted(FOREIGN)}) THEN w ELSE {word} END), '')"
+        f"lambda w: CASE WHEN NOT regexp_matches(w, {_quoted(FOREIGN)}) OR regexp_matches({word}, {_quoted(FOREIGN)}) THEN w ELSE {word} END), '')"
     )
     spelled = "t1"
     for sign, letters_of in _spelled():
