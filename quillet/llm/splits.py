@@ -63,14 +63,15 @@ def _merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": names, "label": [find(x) for x in names]})
 
 
-def component_labels(edges: DataFrame) -> DataFrame:
+def component_labels(edges: DataFrame, level: int = 0) -> DataFrame:
     """Rows (``node``, ``label``): equal labels for the nodes of one component.
 
-    ``edges`` (``u``, ``v``) must hold both directions.
+    ``edges`` (``u``, ``v``) must hold both directions. Each level draws its seeds anew, as
+    the nodes of a level are the seeds of the one before.
     """
     edges = cut(edges.repartition("u"))
     nodes = edges.select(F.col("u").alias("node")).distinct()
-    seed = F.pmod(F.xxhash64("node"), F.lit(SEEDS)) == 0
+    seed = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(SEEDS)) == 0
     labels = cut(nodes.filter(seed).select("node", F.col("node").alias("label")))
     frontier = labels
     for _ in range(ROUNDS):
@@ -97,7 +98,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     merged = (
         touching.coalesce(1).mapInPandas(_merge, "node string, label string")
         if n <= SMALL
-        else component_labels(touching)
+        else component_labels(touching, level + 1)
     )
     merged = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
     return labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))

@@ -27,8 +27,8 @@ from quillet.llm.textform import LOOK_ALIKES, PLAIN_SIGNS
 MAX_LABELLED = 4000
 #: Weights of the subject's bigram, the subject's unigram and the background model.
 INTERPOLATION = (0.55, 0.25, 0.20)
-#: Nats by which a provision's likelihood must exceed the background's to have a subject.
-LEAST_GAIN = 0.7
+#: Share of the greatest gain of a word, the logarithm of the number of subjects, that a provision needs to have one.
+LEAST_SHARE = 0.3
 #: Standard deviations that count as chance, and occurrences of the background added to a subject's.
 NOISE, PULL = 1.5, 30.0
 
@@ -112,6 +112,11 @@ class Models:
         return out, np.array(counts, dtype=np.int64)
 
 
+def least_gain(n: int) -> float:
+    """Nats by which a provision's likelihood must exceed the background's, with n subjects."""
+    return LEAST_SHARE * float(np.log(max(n, 2)))
+
+
 def _shrunk(counts: np.ndarray, totals: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Shares of a subject, drawn towards the background's where chance can explain the difference."""
     expected = totals * share[:, None]
@@ -168,7 +173,8 @@ def train(labelled: list[tuple[str, list[str]]], steps: int = 3) -> Models:
     First each provision counts for all subjects of its document alike. Then, step by step,
     a provision counts for the subjects that the last models give it, those named by the
     label being favoured; so that wrong labels and passing mentions lose weight.
-    The share of provisions that a subject needs is the one that agrees best with the labels.
+    The share of provisions that a subject needs is the one that agrees best with the labels,
+    among equal ones that nearest to the usual.
     """
     subjects = sorted({s for _, own in labelled for s in own})
     index = {s: i for i, s in enumerate(subjects)}
@@ -183,7 +189,7 @@ def train(labelled: list[tuple[str, list[str]]], steps: int = 3) -> Models:
     for _ in range(steps if subjects else 0):
         gains, counts = models.gains(texts)
         favour = np.log(np.repeat(prior, counts, axis=0) * 0.9 + 0.1 / len(subjects))
-        score = np.hstack([gains + favour, np.full((len(gains), 1), LEAST_GAIN - 2.0)]).astype(np.float64)
+        score = np.hstack([gains + favour, np.full((len(gains), 1), least_gain(len(subjects)) - 2.0)]).astype(np.float64)
         score = np.exp(score - score.max(1, keepdims=True))
         weight = (score / score.sum(1, keepdims=True))[:, :-1]
         flat = [w for own in parts for w in own]
@@ -192,7 +198,7 @@ def train(labelled: list[tuple[str, list[str]]], steps: int = 3) -> Models:
         gains, counts = models.gains(texts)
         truth = prior > 0
         best = -1.0
-        for share in np.arange(0.12, 0.36, 0.01):
+        for share in sorted(np.arange(0.12, 0.36, 0.01), key=lambda x: abs(x - 0.22)):
             made = accepted(gains, counts, float(share))
             f = 2 * (made & truth).sum() / max(made.sum() + truth.sum(), 1)
             if f > best + 1e-9:
@@ -210,7 +216,7 @@ def accepted(gains: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
     if not n:
         return made
     owner = gains.argmax(1) if len(gains) else np.zeros(0, int)
-    sure = gains.max(1) >= LEAST_GAIN if len(gains) else np.zeros(0, bool)
+    sure = gains.max(1) >= least_gain(n) if len(gains) else np.zeros(0, bool)
     text = np.repeat(np.arange(len(counts)), counts)
     held = np.zeros((len(counts), n))
     np.add.at(held, (text[sure], owner[sure]), 1)
