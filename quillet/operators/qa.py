@@ -12,15 +12,13 @@ from quillet.functions.text import normalize, shorten, word_count
 
 # The wording of the prompts.
 SYSTEM = "Bạn là trợ lý pháp lý. Chỉ trả lời dựa trên các đoạn văn bản được cung cấp."
-HEAD = "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n"
-ONLY = "Chỉ sử dụng thông tin trong các đoạn văn bản trên. "
 PROMPTS = {
-    "minimal": HEAD + "Trả lời:",
-    "grounded": HEAD + "\n" + ONLY + 'Không sử dụng kiến thức bên ngoài. Nếu các đoạn văn bản không chứa câu trả lời, hãy trả lời "Không tìm thấy thông tin".\nTrả lời:',
-    "cited": HEAD + "\n" + ONLY + "Nêu rõ điều khoản làm căn cứ.\nTrả lời (kèm căn cứ):",
-    "mimic": HEAD + "\n" + ONLY + 'Trả lời theo đúng cấu trúc sau:\nBắt đầu bằng "Theo <điều, khoản, tên văn bản> quy định:", sau đó liệt kê đầy đủ các nội dung liên quan dưới dạng gạch đầu dòng, giữ nguyên cách diễn đạt của văn bản gốc.\nTrả lời:',
-    "yours": HEAD + "Trả lời:",
-    "concise": HEAD + "\n" + ONLY + "Trả lời ngắn gọn, không giải thích thêm.\nTrả lời:",
+    "minimal": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\nTrả lời:",
+    "grounded": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Không sử dụng kiến thức bên ngoài. Nếu các đoạn văn bản không chứa câu trả lời, hãy trả lời \"Không tìm thấy thông tin\".\nTrả lời:",
+    "cited": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Nêu rõ điều khoản làm căn cứ.\nTrả lời (kèm căn cứ):",
+    "mimic": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Trả lời theo đúng cấu trúc sau:\nBắt đầu bằng \"Theo <điều, khoản, tên văn bản> quy định:\", sau đó liệt kê đầy đủ các nội dung liên quan dưới dạng gạch đầu dòng, giữ nguyên cách diễn đạt của văn bản gốc.\nTrả lời:",
+    "yours": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\nTrả lời:",
+    "concise": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Trả lời ngắn gọn, không giải thích thêm.\nTrả lời:",
 }
 
 

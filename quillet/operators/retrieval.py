@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,9 +32,14 @@ def term_stats(index: DataFrame, n: int) -> DataFrame:
     return index.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
 
 
+def token_index(corpus: DataFrame, key: str = "doc_id", text: str = "text", stopwords: bool = False) -> DataFrame:
+    """(``doc_id``, ``tokens``): the index by document, one row each."""
+    return corpus.select(F.col(key).alias("doc_id"), tokenize(F.col(text), stopwords=stopwords).alias("tokens"))
+
+
 def corpus_size(index: DataFrame) -> tuple[int, float]:
     """Documents and their mean number of terms; documents without terms count."""
-    row = index.select("doc_id", "dl").distinct().agg(F.count("*"), F.avg("dl")).first()
+    row = index.agg(F.count("*"), F.avg(F.size("tokens"))).first()
     return int(row[0]), float(row[1] or 0.0) or 1.0
 
 
@@ -44,43 +51,90 @@ def query_terms(queries: DataFrame, key: str = "qid", text: str = "text") -> Dat
     )
 
 
-def bm25_matches(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, float]:
-    """(``qid``, ``doc_id``, ``dl``, ``tf``, ``w``) of every query term in every document, and the mean length.
-
-    The terms of the queries with their weights are joined to the postings on the term, so
-    postings of no query term go no further. k1 and b come later: one index serves a grid.
+def query_weights(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(``qid``, ``terms``, ``weights``): of each query its terms in the corpus with idf · qtf."""
+    df = index.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    items = F.array_sort(F.collect_list(F.struct("term", (idf * F.col("qtf")).alias("w"))))
+    made = query_terms(queries).join(df, "term").groupBy("qid").agg(items.alias("_i"))
+    return made.select("qid", F.transform("_i", lambda x: x["term"]).alias("terms"), F.transform("_i", lambda x: x["w"]).alias("weights"))
+
+
+def _ranker(shared, settings: list[tuple[float, float]], avgdl: float, top_k: int):
+    def rank(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = shared.value
+        wanted = {t for _, terms, _ in asked for t in terms}
+        for part in parts:
+            names = part["doc_id"].to_numpy()
+            order = np.argsort(np.argsort(names))
+            length = np.array([len(t) for t in part["tokens"]], dtype=np.float64)
+            found: dict[str, list[tuple[int, int]]] = {}
+            for i, tokens in enumerate(part["tokens"]):
+                for t, n in Counter(tokens).items():
+                    if t in wanted:
+                        found.setdefault(t, []).append((i, n))
+            lists = {t: np.array(x).T for t, x in found.items()}
+            for k1, b in settings:
+                damp = k1 * (1 - b + b * length / avgdl)
+                impact = {t: (at, n * (k1 + 1) / (n + damp[at])) for t, (at, n) in lists.items()}
+                out: list[tuple] = []
+                for qid, terms, weights in asked:
+                    score = np.zeros(len(names))
+                    for t, w in zip(terms, weights):
+                        if t in impact:
+                            at, x = impact[t]
+                            score[at] += w * x
+                    score = np.round(score, 6)
+                    at = np.flatnonzero(score > 0)
+                    if len(at) > top_k:
+                        # All that tie with the last place stay until they are ordered.
+                        at = at[score[at] >= np.partition(score[at], -top_k)[-top_k]]
+                    at = at[np.lexsort((order[at], -score[at]))][:top_k]
+                    out.append((qid, names[at], score[at]))
+                if out:
+                    yield pd.DataFrame(
+                        {
+                            "k1": k1, "b": b, "qid": np.repeat(np.array([q for q, _, _ in out], dtype=object), [len(x) for _, x, _ in out]),
+                            "doc_id": np.concatenate([x for _, x, _ in out]), "score": np.concatenate([x for _, _, x in out]),
+                        }
+                    )
+
+    return rank
+
+
+def bm25_search(
+    index: DataFrame, queries: DataFrame, settings: list[tuple[float, float]] = ((1.2, 0.75),), top_k: int = 100, block: int = 4096
+) -> DataFrame:
+    """(``k1``, ``b``, ``qid``, ``doc_id``, ``score``, ``rank``): the top k of each query with a positive score, per setting.
+
+    The index lies by document, so a document's whole score is made in one task; a task
+    keeps its own top k, and only these are shuffled, not one row per match. The queries
+    go in blocks of at most ``block``, each broadcast once with its terms' weights. One
+    pass over the index serves a whole grid of settings.
     """
+    spark = index.sparkSession
+    settings = list(settings)
     n, avgdl = corpus_size(index)
-    weights = query_terms(queries).join(term_stats(index, n), "term")
-    return index.join(weights, "term").select("qid", "doc_id", "dl", "tf", (F.col("idf") * F.col("qtf")).alias("w")), avgdl
+    rows, made = [], []
 
+    def search(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast([(r["qid"], r["terms"], r["weights"]) for r in rows])
+        kinds = f"k1 double, b double, qid {queries.schema['qid'].dataType.simpleString()}, doc_id {index.schema['doc_id'].dataType.simpleString()}, score double"
+        return index.select("doc_id", "tokens").mapInPandas(_ranker(shared, settings, avgdl, top_k), kinds)
 
-def bm25_run(matches: DataFrame, avgdl: float, k1: float = 1.2, b: float = 0.75, top_k: int = 100) -> DataFrame:
-    """(``qid``, ``doc_id``, ``score``, ``rank``): the top k of each query with a positive score."""
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scores = matches.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return ranked(scores, ["qid"], top_k)
+    for r in query_weights(index, queries, n).toLocalIterator():  # a block at a time
+        rows.append(r)
+        if len(rows) == block:
+            made.append(search(rows))
+            rows = []
+    if rows or not made:
+        made.append(search(rows))
+    return ranked(reduce(DataFrame.unionByName, made), ["k1", "b", "qid"], top_k)
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top_k: int = 100) -> DataFrame:
-    matches, avgdl = bm25_matches(cut(postings(corpus)), queries)
-    return bm25_run(matches, avgdl, k1, b, top_k)
-
-
-def bm25_grid(matches: DataFrame, avgdl: float, k1s: list[float], bs: list[float], top_k: int = 100) -> DataFrame:
-    """(``k1``, ``b``, ``qid``, ``doc_id``, ``score``, ``rank``) of all settings in one job.
-
-    The sums of all settings are made side by side in one aggregation; matches are
-    neither repeated nor shuffled per setting.
-    """
-    cells = [(k1, b) for k1 in k1s for b in bs]
-    sums = [
-        F.sum(F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias(f"s{i}")
-        for i, (k1, b) in enumerate(cells)
-    ]
-    each = [F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.round(f"s{i}", 6).alias("score")) for i, (k1, b) in enumerate(cells)]
-    scores = matches.groupBy("qid", "doc_id").agg(*sums).select("qid", "doc_id", F.inline(F.array(*each))).filter("score > 0")
-    return ranked(scores, ["k1", "b", "qid"], top_k)
+    """(``qid``, ``doc_id``, ``score``, ``rank``) of one setting."""
+    return bm25_search(cut(token_index(corpus)), queries, [(k1, b)], top_k).drop("k1", "b")
 
 
 def dense_search(docs: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10, block: int = 4096) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,38 +13,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from quillet.functions.text import rouge_tokens
-
 VOWELS = "aeiou"
+TOKENS = re.compile("[a-z0-9]+").findall
 
 
 def f_measure(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+def _tokens(text: str | None) -> list[str]:
+    """The metric's tokens, as rouge_tokens makes them."""
+    return TOKENS((text or "").lower())
 
 
-@pandas_udf(T.IntegerType())
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(a, b)], dtype="int32")
+def _counts(hits: Callable[[str | None, str | None], tuple[int, int, int]]) -> Callable[..., Column]:
+    """A column function of two texts: hits, size of the target, size of the prediction."""
+    kind = T.StructType([T.StructField(n, T.IntegerType()) for n in ("h", "t", "p")])
 
+    @pandas_udf(kind)
+    def made(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([hits(x, y) for x, y in zip(a, b)], columns=["h", "t", "p"], dtype="int32")
 
-def rouge_n(df: DataFrame, key: str, target: str, prediction: str, n: int = 1) -> DataFrame:
-    """(``key``, ``precision``, ``recall``, ``fmeasure``): clipped overlap of n-grams.
+    return made
 
-    The multiset overlap is counted per Arrow batch; texts are neither exploded nor shuffled.
-    """
-    rows = df.select(key, _ngrams(rouge_tokens(F.col(target)), n).alias("_t"), _ngrams(rouge_tokens(F.col(prediction)), n).alias("_p"))
-    rows = rows.select(key, _overlap("_t", "_p").alias("_h"), F.greatest(F.size("_t"), F.lit(1)).alias("_t"), F.greatest(F.size("_p"), F.lit(1)).alias("_p"))
-    rows = rows.select(key, (F.col("_h") / F.col("_p")).alias("precision"), (F.col("_h") / F.col("_t")).alias("recall"))
+
+def _scores(df: DataFrame, key: str, counts: Column) -> DataFrame:
+    rows = df.select(key, counts.alias("_c"))
+    ratio = lambda c: F.coalesce(F.try_divide("_c.h", c), F.lit(0.0))
+    rows = rows.select(key, ratio("_c.p").alias("precision"), ratio("_c.t").alias("recall"))
     return rows.withColumn("fmeasure", F.round(f_measure(F.col("precision"), F.col("recall")), 6)).withColumns(
         {c: F.round(c, 6) for c in ("precision", "recall")}
     )
 
 
+def rouge_n(df: DataFrame, key: str, target: str, prediction: str, n: int = 1) -> DataFrame:
+    """(``key``, ``precision``, ``recall``, ``fmeasure``): clipped overlap of n-grams.
+
+    The multisets are counted per Arrow batch; texts are neither exploded nor shuffled.
+    """
+
+    def hits(a: str | None, b: str | None) -> tuple[int, int, int]:
+        t, p = (Counter(zip(*(x[i:] for i in range(n)))) for x in (_tokens(a), _tokens(b)))
+        return (t & p).total(), max(t.total(), 1), max(p.total(), 1)
+
+    return _scores(df, key, _counts(hits)(F.col(target), F.col(prediction)))
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel: one big-integer step per item of b."""
     where: dict = {}
@@ -91,31 +106,24 @@ def lsum_hits(targets: list[list], predictions: list[list]) -> int:
     return hits
 
 
-@pandas_udf(T.IntegerType())
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+def rouge_l(df: DataFrame, key: str, target: str, prediction: str) -> DataFrame:
+    """(``key``, ``precision``, ``recall``, ``fmeasure``) by the longest common subsequence."""
 
+    def hits(a: str | None, b: str | None) -> tuple[int, int, int]:
+        t, p = _tokens(a), _tokens(b)
+        return lcs_length(t, p), len(t), len(p)
 
-def rouge_l(df: DataFrame, key: str, target: str, prediction: str) -> DataFrame:
-    rows = df.select(key, rouge_tokens(F.col(target)).alias("_t"), rouge_tokens(F.col(prediction)).alias("_p"))
-    rows = rows.withColumn("_h", _lcs("_t", "_p"))
-    ratio = lambda c: F.coalesce(F.try_divide("_h", F.size(c)), F.lit(0.0))
-    rows = rows.select(key, ratio("_p").alias("precision"), ratio("_t").alias("recall"))
-    return rows.select(key, F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f_measure(F.col("precision"), F.col("recall")), 6).alias("fmeasure"))
+    return _scores(df, key, _counts(hits)(F.col(target), F.col(prediction)))
 
 
 def rouge_lsum(df: DataFrame, key: str, target: str, prediction: str) -> DataFrame:
     """ROUGE-L over the lines of both texts."""
 
-    @pandas_udf("int")
-    def hits(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lsum_hits([list(s) for s in x], [list(s) for s in y]) for x, y in zip(a, b)], dtype="int32")
+    def hits(a: str | None, b: str | None) -> tuple[int, int, int]:
+        t, p = ([w for w in map(_tokens, (x or "").split("\n")) if w] for x in (a, b))
+        return lsum_hits(t, p), sum(map(len, t)), sum(map(len, p))
 
-    lines = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), rouge_tokens), lambda s: F.size(s) > 0)
-    rows = df.select(key, lines(F.col(target)).alias("_t"), lines(F.col(prediction)).alias("_p")).withColumn("_h", hits("_t", "_p"))
-    ratio = lambda c: F.coalesce(F.try_divide("_h", F.size(F.flatten(c))), F.lit(0.0))
-    rows = rows.select(key, ratio("_p").alias("precision"), ratio("_t").alias("recall"))
-    return rows.select(key, F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f_measure(F.col("precision"), F.col("recall")), 6).alias("fmeasure"))
+    return _scores(df, key, _counts(hits)(F.col(target), F.col(prediction)))
 
 
 def best_of(scores: DataFrame, key: str) -> DataFrame:

@@ -75,9 +75,8 @@ def token_count(spark, d):
     + f"SELECT term, count(DISTINCT doc_id) AS df, {R6('ln(1 + (n - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5))')} AS idf FROM t, (SELECT count(*) AS n FROM corpus) GROUP BY term, n"
 )
 def token_df_idf(spark, d):
-    index = cut(retrieval.postings(v.corpus(spark, d)))
-    n, _ = retrieval.corpus_size(index)
-    return retrieval.term_stats(index, n).select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = v.corpus(spark, d)
+    return retrieval.term_stats(retrieval.postings(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -175,10 +174,6 @@ def corpus_size_by_granularity(spark, d):
 # --- retrieval
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(v.documents(spark, d), v.questions(spark, d))
-
-
 @query(with_sql("docs", "bm25:docs") + "SELECT qid, doc_id, rank, score FROM found WHERE rank <= 10")
 def bm25_topk(spark, d):
     return retrieval.bm25(v.documents(spark, d), v.questions(spark, d), top_k=10).select("qid", "doc_id", "rank", "score")
@@ -193,8 +188,8 @@ _GRID_SQL = "SELECT k1, b, qid, doc_id, round(sum(w * tf * (k1 + 1) / (tf + k1 *
     "(SELECT k1, b, p.qid, count(*) FILTER (WHERE rank <= 10) AS h, any_value(g) AS g FROM placed p JOIN gold USING (qid, doc_id) JOIN (SELECT qid, count(*) AS g FROM gold GROUP BY qid) s ON s.qid = p.qid WHERE rank <= 100 GROUP BY k1, b, p.qid) GROUP BY k1, b"
 )
 def bm25_grid(spark, d):
-    matches, avgdl = retrieval.bm25_matches(cut(retrieval.postings(v.documents(spark, d))), v.questions(spark, d))
-    made = retrieval.bm25_grid(matches, avgdl, [0.9, 1.2, 1.5, 2.0], [0.3, 0.5, 0.75, 0.9])
+    grid = [(k1, b) for k1 in (0.9, 1.2, 1.5, 2.0) for b in (0.3, 0.5, 0.75, 0.9)]
+    made = retrieval.bm25_search(cut(retrieval.token_index(v.documents(spark, d))), v.questions(spark, d), grid)
     return metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), made, ks=(10,), by=("k1", "b")).select("k1", "b", "recall_10")
 
 

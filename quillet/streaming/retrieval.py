@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillet.operators.retrieval import bm25_matches, bm25_run
+from quillet.operators.retrieval import bm25_search
 
 
 def rank_stream(questions: DataFrame, index: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, top_k: int = 10) -> StreamingQuery:
-    """Each micro-batch of (``qid``, ``text``) is ranked by BM25 and handed to ``sink`` with its number."""
+    """Each micro-batch of (``qid``, ``text``) is ranked against a token index by BM25 and handed to ``sink`` with its number."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        matches, avgdl = bm25_matches(index, batch)
-        sink(bm25_run(matches, avgdl, top_k=top_k), number)
+        sink(bm25_search(index, batch, top_k=top_k).drop("k1", "b"), number)
 
     return questions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -128,14 +128,14 @@ def test_files(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from quillet.operators.retrieval import postings
+    from quillet.operators.retrieval import token_index
 
     docs = spark.createDataFrame([("1", "luật đất"), ("2", "thuế")], "doc_id string, text string")
     source = str(tmp_path / "in")
     spark.createDataFrame([("q", "đất")], "qid string, text string").write.json(source)
     seen = []
     stream = spark.readStream.schema("qid string, text string").json(source)
-    streams.rank_stream(stream, postings(docs), lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
+    streams.rank_stream(stream, token_index(docs), lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert [(r.qid, r.doc_id) for r in seen] == [("q", "1")]
     events = spark.createDataFrame([("2025-01-01 00:10:00", "a", 1.0), ("2025-01-01 00:20:00", "a", 2.0)], "ts string, e string, v double").withColumn("ts", F.to_timestamp("ts"))
     assert streams.windowed_counts(events, "ts", "e", "v").first().total == 3.0
