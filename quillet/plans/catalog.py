@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text as tx
 from quillet.operators import analysis, chunk, cutoff, dataset, fusion, metrics, qa, retrieval, runs, textgen
+from quillet.plans import pipelines
 from quillet.plans import views as v
 from quillet.plans.views import with_sql
 from quillet.session import cut
@@ -398,6 +399,8 @@ def cutoff_sweep(spark, d):
     )
 
 
+_CAND = "SELECT r.qid, r.doc_id, r.rank FROM run_bm25 r ANTI JOIN gold g ON r.qid = g.qid AND r.doc_id = g.doc_id WHERE rank > 2 AND rank <= 50"
+
 # --- analysis
 
 _DIAGNOSIS = {
@@ -510,6 +513,35 @@ def validation_report(spark, d):
     return files.validate(v.corpus(spark, d), v.questions(spark, d))
 
 
+@query()
+def data_facts(spark, d):
+    return pipelines.data_facts(v.documents(spark, d), v.questions(spark, d), v.questions(spark, d, "queries_train"))
+
+
+@query()
+def retrieve_and_score(spark, d):
+    """Articles of whole documents, ranked, collapsed, cut and scored."""
+    return pipelines.retrieve_and_score(v.documents(spark, d).select("doc_id", "text", "title"), v.questions(spark, d), "article")[2]
+
+
+@query()
+def hybrid_sweep(spark, d):
+    return pipelines.hybrid(v.run(spark, d, "dense"), v.run(spark, d, "bm25"), v.questions(spark, d))
+
+
+@query(
+    with_sql(
+        "corpus", "dev", "gold", "run_bm25", cand=_CAND, neg="SELECT qid, list(doc_id ORDER BY rank)[1:8] AS negative_ids FROM cand GROUP BY qid",
+        own="SELECT qid, gold.doc_id AS positive_id, negative_ids, dev.text AS query, coalesce(c.text, '') AS positive FROM gold JOIN neg USING (qid) JOIN dev USING (qid) JOIN corpus c ON c.doc_id = gold.doc_id",
+        e="SELECT qid, positive_id, unnest(negative_ids) AS doc_id, generate_subscripts(negative_ids, 1) AS pos FROM own",
+        n="SELECT qid, positive_id, list(coalesce(text, '') ORDER BY pos) AS negatives FROM e LEFT JOIN corpus USING (doc_id) GROUP BY qid, positive_id",
+    )
+    + "SELECT qid, query, positive_id, positive, negative_ids, negatives FROM own JOIN n USING (qid, positive_id)"
+)
+def training_rows(spark, d):
+    return pipelines.training_rows(v.run(spark, d), v.questions(spark, d), v.corpus(spark, d))
+
+
 # --- ceilings
 
 
@@ -632,9 +664,6 @@ def gold_histogram(spark, d):
     return dataset.gold_histogram(v.gold(spark, d, "queries_train"), v.questions(spark, d, "queries_train"))
 
 
-_CAND = "SELECT r.qid, r.doc_id, r.rank FROM run_bm25 r ANTI JOIN gold g ON r.qid = g.qid AND r.doc_id = g.doc_id WHERE rank > 2 AND rank <= 50"
-
-
 @query(
     with_sql("corpus", "gold", "run_bm25", cand=_CAND, neg="SELECT qid, list(doc_id ORDER BY rank)[1:8] AS negative_ids FROM cand GROUP BY qid")
     + "SELECT qid, doc_id AS positive_id, negative_ids FROM gold JOIN neg USING (qid) WHERE doc_id IN (SELECT doc_id FROM corpus)"

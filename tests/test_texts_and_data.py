@@ -148,3 +148,32 @@ def test_catalogue(spark, data):
     assert set(catalog.oracle_sql()) <= set(made)
     for name in ("bm25_topk", "loss_aggregate", "chunk_stats", "validation_report"):
         assert made[name](spark, data).count() >= 0
+
+
+def test_pipelines(spark):
+    from quillet.plans import pipelines
+
+    docs = spark.createDataFrame([("1", "Điều 1. luật đất đai và nhà ở xã hội", ""), ("2", "Điều 1. thuế thu nhập cá nhân hằng năm", "")], "doc_id string, text string, title string")
+    q = spark.createDataFrame([("a", "luật đất", ["1"]), ("b", "thuế thu nhập", ["2"])], "qid string, text string, relevant array<string>")
+    run, predictions, scores = pipelines.retrieve_and_score(docs, q, "article")
+    assert scores.first().macro_recall == 1.0 and predictions.count() == 2
+    blind = q.withColumn("relevant", F.array().cast("array<string>"))
+    assert pipelines.unlabelled(blind) and pipelines.retrieve_and_score(docs, blind)[2] is None
+    from quillet.operators.retrieval import token_index
+
+    assert pipelines.grid_search(token_index(docs), q, [0.9, 1.2], [0.5]).count() == 2
+    assert pipelines.hybrid(run, run, q, "rrf").first().recall_10 == 1.0 and pipelines.hybrid(run, run, q, "minmax").count() == 5
+    gold = spark.createDataFrame([("a", "luật"), ("b", "thuế")], "qid string, answer string")
+    best = pipelines.ablation(q, gold, run, docs, lambda texts: ["luật"] * len(texts), ["minimal", "cited"], [1]).first()
+    assert best.rouge_l is not None and best.k == 1
+    from quillet.operators.chunk import build_corpus
+
+    assert pipelines.chunk_report(build_corpus(docs, "article"))["warnings"] == ["no document was split"]
+    assert pipelines.pair_count(q, docs) == 4
+    facts = {r.fact: r.value for r in pipelines.data_facts(docs, q, q).collect()}
+    assert facts["documents"] == 2 and facts["questions_shared"] == 2 and facts["unreachable_questions"] == 0
+    from quillet.operators.cutoff import sweep
+
+    swept = sweep(run, [("top_k", 1)]).groupBy("rule", "value").agg(F.lit(1.0).alias("recall"), F.lit(0.5).alias("precision"))
+    assert "| top_k | 1 | 1.0000 | 0.5000 |" in pipelines.cutoff_report(swept)
+    assert pipelines.set_seed(3) == 3
