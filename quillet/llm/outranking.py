@@ -9,10 +9,22 @@ never from pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.session import cut, running_sums
+from quillet.sources.rankings import run_items
+
+#: Items of a group, over all its sources, that one task may hold; larger groups are spread.
+LARGE = 300_000
+#: Items that a task works on at once.
+CHUNK = 200_000
 
 
 def net_flows(
@@ -62,6 +74,128 @@ def net_flows(
     )
 
 
+def flows_of_arrays(g: np.ndarray, r: np.ndarray, i: np.ndarray, s: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, item and flow of whole groups given by their codes; the same sums as net_flows, in arrays."""
+    order = np.lexsort((-s, i, r, g))
+    g, r, i, s = g[order], r[order], i[order], s[order]
+    first = np.ones(len(g), bool)  # a document's highest score in a source
+    first[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1]) | (i[1:] != i[:-1])
+    g, r, i, s = g[first], r[first], i[first], s[first]
+    pairs, at = np.unique(np.stack([g, i]), axis=1, return_inverse=True)
+    at = at.ravel()
+    universe = np.bincount(pairs[0], minlength=int(g.max()) + 1)
+    order = np.lexsort((s, r, g))
+    g, r, s, at = g[order], r[order], s[order], at[order]
+    # Segments are a source of a group; blocks are the equal scores of a segment.
+    new_segment = np.ones(len(g), bool)
+    new_segment[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+    new_block = new_segment.copy()
+    new_block[1:] |= s[1:] != s[:-1]
+    block = np.cumsum(new_block) - 1
+    segment = (np.cumsum(new_segment) - 1)[new_block]
+    count = np.bincount(block).astype(np.float64)
+    size = np.bincount(segment, weights=count)
+    n = universe[g[new_segment]].astype(np.float64)
+    absent = n - size
+    # Each segment gets a block of what it lacks, before its others.
+    segments = len(size)
+    seg = np.concatenate([np.arange(segments), segment])
+    c = np.concatenate([absent, count])
+    order = np.argsort(seg, kind="stable")
+    seg, c = seg[order], c[order]
+    start = np.searchsorted(seg, np.arange(segments))
+    upto = np.cumsum(c)
+    upto -= (upto[start] - c[start])[seg]
+    p = (upto - c / 2) / n[seg]
+    counts, weights = np.concatenate([[0.0], np.cumsum(c)]), np.concatenate([[0.0], np.cumsum(c * p)])
+    keys = seg * 4.0 + p
+
+    def sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = np.maximum(np.searchsorted(keys, seg * 4.0 + np.clip(x, -1.0, 2.0), side="right"), start[seg])
+        return counts[to] - counts[start][seg], weights[to] - weights[start][seg]
+
+    own_c, own_w = upto, np.concatenate([[0.0], np.cumsum(c * p)])[np.arange(len(c)) + 1] - weights[start][seg]
+    low_c, low_w = sums(p - threshold)
+    high_c, high_w = sums(p + threshold)
+    gain = low_c + (p * (own_c - low_c) - (own_w - low_w)) / threshold
+    loss = (n[seg] - high_c) + ((high_w - own_w) - p * (high_c - own_c)) / threshold
+    flow = (gain - loss) / np.maximum(n[seg] - 1, 1)
+    zero = np.where(absent > 0, flow[start], 0.0)
+    gained = flow - zero[seg]
+    real = np.ones(len(c), bool)
+    real[start] = False
+    total = np.bincount(at, weights=gained[real][block], minlength=pairs.shape[1])
+    return pairs[0], pairs[1], np.round(total, 9)
+
+
+def _whole_groups(threshold: float, kind: pa.DataType, id_kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pd.DataFrame] = []
+
+        def made(frame: pd.DataFrame) -> pa.RecordBatch:
+            g, groups = pd.factorize(frame["g"], use_na_sentinel=False)
+            r, _ = pd.factorize(frame["r"], use_na_sentinel=False)
+            i, items = pd.factorize(frame["i"])
+            a, b, flow = flows_of_arrays(g, r, i, frame["s"].to_numpy(), threshold)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(groups, dtype=object)[a], kind, from_pandas=True), pa.array(np.asarray(items, dtype=object)[b], id_kind), pa.array(flow)], names=["g", "i", "f"]
+            )
+
+        for batch in batches:
+            lists = batch.column("ranked")
+            inner, parents = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            frame = pd.DataFrame(
+                {
+                    "g": batch.column("g").to_pandas().to_numpy()[parents], "r": batch.column("r").to_pandas().to_numpy()[parents],
+                    "i": pc.struct_field(inner, "doc_id").to_pandas(), "s": pc.struct_field(inner, "score").to_pandas().astype("float64"),
+                }
+            )
+            frame = frame[frame["i"].notna() & frame["s"].notna()]
+            if len(frame):
+                kept.append(frame)
+            if sum(map(len, kept)) >= CHUNK:
+                whole = pd.concat(kept, ignore_index=True)
+                # Rows come sorted by group: all but the last group are complete.
+                last = whole["g"].iloc[-1]
+                end = whole["g"].isna() if last is None or last != last else whole["g"] == last
+                kept = [whole[end]]
+                if not end.all():
+                    yield made(whole[~end])
+        if kept:
+            yield made(pd.concat(kept, ignore_index=True))
+
+    return run
+
+
+def run_flows(runs: DataFrame, group: str = "qid", source: str = "run_id", threshold: float = 0.5) -> DataFrame:
+    """net_flows of nested rankings (``group``, ``source``, ``ranked`` of (doc_id, score)): (``group``, ``doc_id``, ``flow``).
+
+    Rows of ordinary groups are shuffled once, as nested as they are, and whole groups are
+    worked off in arrays. Groups of more than LARGE items go through net_flows, which spreads
+    each over many tasks; the results are the same. Null items, null ids and null or NaN
+    scores do not exist; slices are read together with a document's highest score; null
+    groups and sources are left out; an empty table gives no rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = runs.select(F.col(group).alias("g"), F.col(source).alias("r"), "ranked").filter("g is not null and r is not null and size(ranked) > 0")
+    large = rows.groupBy("g").agg(F.sum(F.size("ranked")).alias("n")).filter(F.col("n") > LARGE).select("g")
+    large = cut(large)  # as many rows as LARGE goes into the items, at most
+    kind, id_kind = rows.schema["g"].dataType, rows.schema["ranked"].dataType.elementType["doc_id"].dataType
+    schema = f"g {kind.simpleString()}, i {id_kind.simpleString()}, f double"
+    run = _whole_groups(threshold, to_arrow_type(kind), to_arrow_type(id_kind))
+
+    def whole(some: DataFrame) -> DataFrame:
+        made = some.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+        return made.select(F.col("g").alias(group), F.col("i").alias("doc_id"), F.col("f").alias("flow"))
+
+    if large.isEmpty():
+        return whole(rows)
+    items = run_items(rows.join(large, "g", "left_semi"), ["g", "r"])
+    spread = net_flows(items, "g", "r", "doc_id", "score", threshold)
+    return whole(rows.join(large, "g", "left_anti")).unionByName(spread.withColumnRenamed("g", group))
+
+
 def combined_ranking(flows: DataFrame, group: str, item: str, top: int | None = None) -> DataFrame:
     """Places from 1 by falling flow, ties by the smaller item; only the first ``top`` where given.
 

@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _flows(spark: SparkSession, d: str) -> DataFrame:
     dev = table(spark, d, "queries_dev").select("qid").distinct()
     runs = table(spark, d, "runs").join(dev, "qid", "left_semi")
-    return outranking.net_flows(topn.run_items(runs, ["qid", "run_id"]), "qid", "run_id", "doc_id", "score")
+    return outranking.run_flows(runs)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

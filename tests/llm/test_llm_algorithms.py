@@ -46,6 +46,30 @@ def test_net_flows(spark):
     assert max(first, key=lambda i: (first[i], i)) in groups["q0"]["r0"]
 
 
+@pytest.mark.parametrize("large, chunk", [(300_000, 50), (0, 50), (25, 7)])
+def test_run_flows(spark, monkeypatch, large, chunk):
+    monkeypatch.setattr(outranking, "LARGE", large)
+    monkeypatch.setattr(outranking, "CHUNK", chunk)
+    rng = random.Random(14)
+    nan, rows, groups = float("nan"), [], {}
+    for g in range(15):
+        for r in range(3):
+            own = {}
+            for part in range(2):
+                items = [(f"d{rng.randint(0, 15)}", rng.choice([1.0, 2.0, rng.random() * 10**r, -5.0])) for _ in range(rng.randint(0, 9))]
+                rows.append((f"r{r}", f"q{g}", part, [*items, (None, 9.0), ("n", nan), ("m", None)], "x"))
+                for d, x in items:
+                    own[d] = max(x, own.get(d, -1e9))
+            if own:
+                groups.setdefault(f"q{g}", {})[f"r{r}"] = own
+    rows += [("r0", "q0", 0, None, "x"), (None, "q0", 0, [("d", 1.0)], "x"), ("r0", "void", 0, [], "x")] + rows[:3]
+    df = spark.createDataFrame(rows, RUNS)
+    got = {(r.qid, r.doc_id): r.flow for r in outranking.run_flows(df).collect()}
+    want = {(g, i): f for g, own in groups.items() for i, f in brute_flow(own).items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    assert outranking.run_flows(df.limit(0)).count() == 0
+
+
 def test_top_n(spark):
     rng = random.Random(9)
     rows = [("hot", f"d{i}", float(rng.randint(0, 50))) for i in range(3000)] + [(f"g{k}", f"d{i}", rng.choice([1.0, 2.0, rng.random()])) for k in range(60) for i in range(rng.randint(1, 9))]
