@@ -99,7 +99,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_top5(spark: SparkSession, d: str) -> DataFrame:
     keys = ["run_id", "qid"]
-    best = topn.top_n(topn.run_items(table(spark, d, "runs"), keys), keys, "doc_id", "score", 5, scale="run_id")
+    best = topn.top_n_of_runs(table(spark, d, "runs"), keys, 5)
     return best.select(*keys, "place", "doc_id", "score")
 
 

@@ -7,47 +7,102 @@ shuffled, so a group of millions of items never meets in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.session import cut
-from quillet.sources.rankings import run_items
 
+#: Scales whose quantiles are broadcast; with more they are joined.
+SMALL = 10_000
 
-def top_n(
-    items: DataFrame, keys: list[str], item: str, score: str, n: int, quantiles: tuple[float, ...] = (0.7, 0.3), scale: str | None = None
-) -> DataFrame:
-    """Rows (``keys``, ``item``, ``score``, ``place``) of the n best items of each group.
 
-    Best is the highest score, then the smaller item; places count from 1. Items must be
-    distinct within a group. Groups with fewer than n items keep all; null scores and items
-    do not exist. Null keys form a group. ``scale`` names a column whose values have scores
-    of their own range; quantiles are then taken for each. An empty table gives no rows.
-    """
-    rows = cut(items.select(*keys, item, score).filter(F.col(score).isNotNull() & F.col(item).isNotNull()))
-    by = [scale] if scale else []
-    borders = rows.groupBy(*by).agg(F.percentile_approx(score, list(quantiles), 1000).alias("_q"))
-    if scale:
-        banded = rows.join(borders.withColumnRenamed(scale, "_scale"), F.col(scale).eqNullSafe(F.col("_scale"))).drop("_scale")
-    else:
-        first = borders.first()[0] or [0.0] * len(quantiles)
-        banded = rows.withColumn("_q", F.array(*map(F.lit, first)))
-    # The band is the number of quantiles above the score; 0 is the top band.
-    banded = banded.withColumn("_band", reduce(lambda a, b: a + b, [(F.col("_q")[i] > F.col(score)).cast("int") for i in range(len(quantiles))])).drop("_q")
+def _borders(scores: DataFrame, scale: list[str], quantiles: tuple[float, ...]) -> DataFrame:
+    """The quantiles of column ``s`` for each scale, as the array ``_q``; few rows are marked for broadcast."""
+    made = cut(scores.groupBy(*scale).agg(F.percentile_approx("s", list(quantiles), 1000).alias("_q")))
+    return F.broadcast(made) if made.limit(SMALL + 1).count() <= SMALL else made
+
+
+def _with_borders(rows: DataFrame, borders: DataFrame, scale: str | None) -> DataFrame:
+    if scale is None:
+        first = borders.first()
+        if not first or not first[0]:
+            return rows.limit(0).withColumn("_q", F.lit(None).cast("array<double>"))  # there is no score
+        return rows.withColumn("_q", F.array(*map(F.lit, first[0])))
+    return rows.join(borders.withColumnRenamed(scale, "_scale"), F.col(scale).eqNullSafe(F.col("_scale"))).drop("_scale")
+
+
+def _inside(score: Column, band: int, last: int) -> Column:
+    """Whether a score lies in the band; 0 is the top one, the last has no lower border."""
+    inside = F.lit(True)
+    if band < last:
+        inside &= score >= F.get("_q", F.lit(band))
+    if band:
+        inside &= score < F.get("_q", F.lit(band - 1))
+    return inside
+
+
+def _worked_off(band_rows: Callable[[int, DataFrame | None], DataFrame], keys: list[str], item: str, score: str, n: int, bands: int) -> DataFrame:
+    """Bands from the top: full groups leave, others take what they have into the next band."""
     best = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(item).asc())
     kept = None
-    for band in range(len(quantiles) + 1):
-        now = banded.filter(F.col("_band") == band).drop("_band")
+    for band in range(bands):
+        full = None if kept is None else kept.filter(F.col("place") == n).select(*(F.col(k).alias(f"_f_{k}") for k in keys))
+        now = band_rows(band, full)
         if kept is not None:
-            full = kept.filter(F.col("place") == n).select(*(F.col(k).alias(f"_f_{k}") for k in keys))
-            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys])
-            now = kept.drop("place").unionByName(now.join(full, same, "left_anti"))
+            now = kept.drop("place").unionByName(now)
+        now = now.groupBy(*keys, item).agg(F.max(score).alias(score))
         kept = cut(now.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n))
     return kept
 
 
+def _without(rows: DataFrame, full: DataFrame | None, keys: list[str]) -> DataFrame:
+    if full is None:
+        return rows
+    return rows.join(full, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys]), "left_anti")
+
+
+def top_n(
+    items: DataFrame, keys: list[str], item: str, score: str, n: int, quantiles: tuple[float, ...] = (0.6, 0.25), scale: str | None = None
+) -> DataFrame:
+    """Rows (``keys``, ``item``, ``score``, ``place``) of the n best items of each group.
+
+    Best is the highest score, then the smaller item; places count from 1. A repeated item
+    has its highest score. Groups with fewer than n items keep all; null and NaN scores and
+    null items do not exist. Null keys form a group. ``scale`` names a column whose values
+    have scores of their own range; quantiles are then taken for each. An empty table gives
+    no rows.
+    """
+    rows = items.select(*keys, item, score).filter(F.col(score).isNotNull() & F.col(item).isNotNull() & ~F.isnan(score))
+    by = [scale] if scale else []
+    banded = _with_borders(rows, _borders(rows.select(*by, F.col(score).alias("s")), by, quantiles), scale)
+
+    def band_rows(band: int, full: DataFrame | None) -> DataFrame:
+        return _without(banded.filter(_inside(F.col(score), band, len(quantiles))), full, keys).select(*keys, item, score)
+
+    return _worked_off(band_rows, keys, item, score, n, len(quantiles) + 1)
+
+
+def top_n_of_runs(runs: DataFrame, keys: list[str], n: int, quantiles: tuple[float, ...] = (0.6, 0.25), scale: str = "run_id") -> DataFrame:
+    """top_n of nested rankings: (``keys``, ``doc_id``, ``score``, ``place``).
+
+    A band takes its items out of the lists before they are exploded, and full groups leave
+    as nested rows, so that most items are never shuffled. Items are read as in run_items.
+    """
+    usable = F.filter("ranked", lambda x: x["doc_id"].isNotNull() & x["score"].isNotNull() & ~F.isnan(x["score"]))
+    rows = runs.select(*keys, usable.alias("ranked")).filter(F.size("ranked") > 0)
+    scores = rows.select(scale, F.explode("ranked").alias("_i")).select(scale, F.col("_i.score").alias("s"))
+    banded = _with_borders(rows, _borders(scores, [scale], quantiles), scale)
+
+    def band_rows(band: int, full: DataFrame | None) -> DataFrame:
+        some = banded.withColumn("ranked", F.filter("ranked", lambda x: _inside(x["score"], band, len(quantiles)))).filter(F.size("ranked") > 0)
+        return _without(some, full, keys).select(*keys, F.explode("ranked").alias("_i")).select(*keys, F.col("_i.doc_id").alias("doc_id"), F.col("_i.score").alias("score"))
+
+    return _worked_off(band_rows, keys, "doc_id", "score", n, len(quantiles) + 1)
+
+
 def wrong_cuts(runs: DataFrame, predictions: DataFrame, n: int = 5) -> DataFrame:
     """Rows (``run_id``, ``qid``, ``place``, ``doc_id``): the right cut of each group whose recorded one is wrong.
 
@@ -56,7 +111,7 @@ def wrong_cuts(runs: DataFrame, predictions: DataFrame, n: int = 5) -> DataFrame
     n best documents in order. Groups without any usable item are no cases.
     """
     keys = ["run_id", "qid"]
-    best = top_n(run_items(runs, keys), keys, "doc_id", "score", n, scale="run_id")
+    best = top_n_of_runs(runs, keys, n)
     right = best.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"]).alias("best")
     )
