@@ -33,6 +33,9 @@ LOOK_ALIKES = {
 # Signs that look the same in any word.
 PLAIN_SIGNS = ("ÐƉɡµ‐‑", "ĐĐgμ--")
 
+#: Rows that DuckDB takes at once.
+SLICE = 2048
+
 FOREIGN = "[\\p{Cyrillic}\\p{Greek}\\p{Armenian}]"
 
 
@@ -85,21 +88,21 @@ def canonical_batches(column: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": True})
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column(column)
-            con.register("batch", pa.table({"t": texts.cast(pa.string())}))
-            made = con.sql(sql).to_arrow_table().column("c").combine_chunks().cast(pa.string())
-            con.unregister("batch")
-            names, columns = list(batch.schema.names), list(batch.columns)
-            if out in names:
-                columns[names.index(out)] = made
-            else:
-                names.append(out)
-                columns.append(made)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "preserve_insertion_order": True})
+        for whole in batches:
+            # Short slices bound the memory of a call by the longest texts in it.
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                con.register("batch", pa.table({"t": batch.column(column).cast(pa.string())}))
+                made = con.sql(sql).to_arrow_table().column("c").combine_chunks().cast(pa.string())
+                con.unregister("batch")
+                names, columns = list(batch.schema.names), list(batch.columns)
+                if out in names:
+                    columns[names.index(out)] = made
+                else:
+                    names.append(out)
+                    columns.append(made)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
