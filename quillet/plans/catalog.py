@@ -295,26 +295,32 @@ def rerank_merge(spark, d):
 
 
 def _rank_sql(run: str, columns: str, by: str = "") -> str:
-    hits = f"""SELECT *, count(*) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS i
+    more = f"{by}, " if by else ""
+    hits = f"""SELECT *, count(*) OVER (PARTITION BY {more}qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS i
       FROM {run} JOIN gold USING (qid, doc_id) JOIN (SELECT qid, count(*) AS g FROM gold GROUP BY qid) s USING (qid)"""
     each = (
-        "SELECT qid, g, " + ", ".join(f"count(*) FILTER (WHERE rank <= {k}) AS h{k}" for k in (1, 5, 10, 20, 50, 100))
+        f"SELECT {more}qid, g, " + ", ".join(f"count(*) FILTER (WHERE rank <= {k}) AS h{k}" for k in (1, 5, 10, 20, 50, 100))
         + ", min(rank) AS f, sum(CASE WHEN rank <= 100 THEN i::DOUBLE / rank ELSE 0 END) AS ap, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg,"
-        " list_sum(list_transform(range(1, least(g, 10) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM hits GROUP BY qid, g"
+        f" list_sum(list_transform(range(1, least(g, 10) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM hits GROUP BY {more}qid, g"
     )
-    return f"hits AS ({hits}), each AS ({each}) SELECT {columns} FROM each"
+    return f"hits AS ({hits}), each AS ({each}) SELECT {more}{columns} FROM each" + (f" GROUP BY {by}" if by else "")
 
 
 _N = "(SELECT count(*) FROM dev)"
-_ALL_RANKS = (
-    ", ".join(f"{R6(f'sum(h{k}::DOUBLE / g) / {_N}')} AS recall_{k}, {R6(f'sum(h{k}::DOUBLE / {k}) / {_N}')} AS precision_{k}" for k in (1, 5, 10, 20, 50, 100))
-    + f", {R6(f'sum(CASE WHEN f <= 10 THEN 1.0::DOUBLE / f ELSE 0 END) / {_N}')} AS mrr_10, {R6(f'sum(ap / least(g, 100)) / {_N}')} AS map_100, {R6(f'sum(dcg / ideal) / {_N}')} AS ndcg_10"
+
+
+def _ranks(ks: tuple[int, ...]) -> str:
+    return ", ".join(f"{R6(f'sum(h{k}::DOUBLE / g) / {_N}')} AS recall_{k}, {R6(f'sum(h{k}::DOUBLE / {k}) / {_N}')} AS precision_{k}" for k in ks) + _LAST
+
+
+_LAST = (
+    f", {R6(f'sum(CASE WHEN f <= 10 THEN 1.0::DOUBLE / f ELSE 0 END) / {_N}')} AS mrr_10, {R6(f'sum(ap / least(g, 100)) / {_N}')} AS map_100, {R6(f'sum(dcg / ideal) / {_N}')} AS ndcg_10"
 )
 
 
 for _k in v.KINDS:
 
-    @query(with_sql("gold", f"run_{_k}").rstrip() + ", " + _rank_sql(f"run_{_k}", _ALL_RANKS), f"rank_metrics_{_k}")
+    @query(with_sql("gold", f"run_{_k}").rstrip() + ", " + _rank_sql(f"run_{_k}", _ranks((1, 5, 10, 20, 50, 100))), f"rank_metrics_{_k}")
     def _rank_metrics(spark, d, kind=_k):
         return metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), v.run(spark, d, kind))
 
@@ -328,13 +334,15 @@ _SET = """SELECT count(*) AS n_queries, count(*) FILTER (WHERE n_pred > 5) AS n_
   avg(precision) AS ap, avg(recall) AS ar, avg(n_pred) AS np, avg(n_gold) AS ng FROM each_scored"""
 
 
+_F1 = "coalesce(2 * {0} * {1} / nullif({0} + {1}, 0), 0)"
+_SET_COLUMNS = (
+    f"SELECT n_queries, n_over_cap, n_empty, {R6('mp')} AS micro_precision, {R6('mr')} AS micro_recall, {R6(_F1.format('mp', 'mr'))} AS micro_f, "
+    f"{R6('ap')} AS macro_precision, {R6('ar')} AS macro_recall, {R6(_F1.format('ap', 'ar'))} AS macro_f, {R6('np')} AS avg_pred, {R6('ng')} AS avg_gold FROM s"
+)
+
+
 def _set_sql(pred: str) -> str:
-    f1 = lambda p, r: f"coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0)"
-    return (
-        with_sql("gold", pred, scores=_SCORES.format(pred), each_scored=_SUMS, s=_SET)
-        + f"SELECT n_queries, n_over_cap, n_empty, {R6('mp')} AS micro_precision, {R6('mr')} AS micro_recall, {R6(f1('mp', 'mr'))} AS micro_f, "
-        f"{R6('ap')} AS macro_precision, {R6('ar')} AS macro_recall, {R6(f1('ap', 'ar'))} AS macro_f, {R6('np')} AS avg_pred, {R6('ng')} AS avg_gold FROM s"
-    )
+    return with_sql("gold", pred, scores=_SCORES.format(pred), each_scored=_SUMS, s=_SET) + _SET_COLUMNS
 
 
 for _k in v.KINDS:
@@ -508,7 +516,14 @@ def unreachable_questions(spark, d):
     return analysis.unreachable(v.gold(spark, d), v.corpus(spark, d))
 
 
-@query()
+@query(
+    with_sql("corpus", "dev", "gold", raw="SELECT DISTINCT qid, id AS doc_id FROM (SELECT qid, unnest(relevant) AS id FROM dev) WHERE id IS NOT NULL")
+    + "SELECT 'FAIL' AS level, 'dangling_gold' AS check, count(*) AS n FROM raw WHERE doc_id NOT IN (SELECT doc_id FROM corpus) "
+    "UNION ALL SELECT 'FAIL', 'empty_questions', count(*) FROM dev WHERE trim(coalesce(text, '')) = '' "
+    "UNION ALL SELECT 'FAIL', 'repeated_documents', count(*) FROM (SELECT doc_id FROM corpus GROUP BY doc_id HAVING count(*) > 1) "
+    "UNION ALL SELECT 'WARN', 'empty_documents', count(*) FROM corpus WHERE trim(coalesce(text, '')) = '' "
+    f"UNION ALL SELECT 'WARN', 'unreachable_questions', count(*) FROM (SELECT qid FROM raw LEFT JOIN (SELECT DISTINCT doc_id, 1 AS ok FROM corpus WHERE regexp_replace(coalesce(text, ''), '{tx._SPACE}+', '', 'g') <> '') USING (doc_id) GROUP BY qid HAVING count(ok) = 0)"
+)
 def validation_report(spark, d):
     return files.validate(v.corpus(spark, d), v.questions(spark, d))
 
@@ -518,13 +533,28 @@ def data_facts(spark, d):
     return pipelines.data_facts(v.documents(spark, d), v.questions(spark, d), v.questions(spark, d, "queries_train"))
 
 
-@query()
+@query(
+    with_sql(
+        "docs", "dev", "gold", articled=_ARTICLES, pieces=_PIECES, labelled=_LABELLED, chunks=_CHUNKS, **v._bm25_sql("chunks"),
+        whole="SELECT qid, parent_id AS doc_id, round(max(score), 9) AS score FROM found JOIN chunks USING (doc_id) GROUP BY ALL",
+        cut="SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM whole QUALIFY rank <= 5",
+        pred_cut="SELECT qid, list(doc_id ORDER BY rank) AS predicted FROM cut GROUP BY qid",
+        scores=_SCORES.format("pred_cut"), each_scored=_SUMS, s=_SET,
+    )
+    + _SET_COLUMNS
+)
 def retrieve_and_score(spark, d):
     """Articles of whole documents, ranked, collapsed, cut and scored."""
     return pipelines.retrieve_and_score(v.documents(spark, d).select("doc_id", "text", "title"), v.questions(spark, d), "article")[2]
 
 
-@query()
+@query(
+    with_sql(
+        "gold", "run_dense", "run_bm25", ws="SELECT unnest([0.2, 0.4, 0.5, 0.6, 0.8]::DOUBLE[]) AS w_dense",
+        cells="SELECT w_dense, qid, doc_id, round(sum(x), 9) AS score FROM (SELECT w_dense, qid, doc_id, w_dense / (60 + rank) AS x FROM run_dense, ws UNION ALL SELECT w_dense, qid, doc_id, (1 - w_dense) / (60 + rank) FROM run_bm25, ws) GROUP BY ALL",
+        placed="SELECT *, CAST(row_number() OVER (PARTITION BY w_dense, qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cells QUALIFY rank <= 100",
+    ).rstrip() + ", " + _rank_sql("placed", _ranks((10, 100)), "w_dense")
+)
 def hybrid_sweep(spark, d):
     return pipelines.hybrid(v.run(spark, d, "dense"), v.run(spark, d, "bm25"), v.questions(spark, d))
 
@@ -558,7 +588,15 @@ def ceiling_table(spark, d):
     return fusion.ceiling_table(long)
 
 
-@query()
+@query(
+    with_sql(
+        "gold", "run_bm25", "run_cross", **_RERANK, gs="SELECT qid, count(*) AS g FROM gold GROUP BY qid",
+        c="SELECT sum(h::DOUBLE / g) AS c FROM (SELECT qid, count(*) FILTER (WHERE rank <= 10) AS h FROM run_bm25 JOIN gold USING (qid, doc_id) GROUP BY qid) JOIN gs USING (qid)",
+        a="SELECT sum(h::DOUBLE / g) AS a FROM (SELECT qid, count(*) FILTER (WHERE rank <= 5) AS h FROM again JOIN gold USING (qid, doc_id) GROUP BY qid) JOIN gs USING (qid)",
+        r=f"SELECT {R6(f'c / {_N}')} AS ceiling, {R6(f'a / {_N}')} AS achieved FROM c, a",
+    )
+    + "SELECT ceiling, achieved, CASE WHEN ceiling < 0.80 THEN 'RETRIEVER' WHEN ceiling - achieved > 0.10 THEN 'RERANKER' ELSE 'RETRIEVER/stop' END AS verdict FROM r"
+)
 def ceiling_verdict(spark, d):
     base = metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), v.run(spark, d), (10,)).select(F.col("recall_10").alias("ceiling"))
     made = metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), _reranked(spark, d), (5,)).select(F.col("recall_5").alias("achieved"))
