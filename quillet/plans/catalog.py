@@ -139,7 +139,19 @@ def chunk_articles(spark, d):
     return chunk.build_corpus(v.documents(spark, d), "article").select("doc_id", "parent_id", "text")
 
 
-@query()
+_CLAUSES = {
+    "split2": "SELECT parent_id, title, pos AS first, label AS article, regexp_replace(piece, '(?m)^([ \\t]*\\d{1,2}\\s*[.)]\\s+)', chr(1) || '\\1', 'g') AS m FROM labelled",
+    "pieces2": "SELECT parent_id, title, first, article, CAST(p - 1 AS INTEGER) AS pos, piece0, contains(m, chr(1)) AS cut FROM "
+    "(SELECT *, unnest(string_split(m, chr(1))) AS piece0, generate_subscripts(string_split(m, chr(1)), 1) AS p FROM split2)",
+    "labelled2": "SELECT parent_id, title, first, pos, article, CASE WHEN NOT cut THEN '_whole' WHEN pos = 0 THEN '_preamble' ELSE regexp_extract(piece0, '^[ \\t]*(\\d{1,2})', 1) END AS label, "
+    f"regexp_replace(piece0, '^{tx._SPACE}+|{tx._SPACE}+$', '', 'g') AS piece FROM pieces2 WHERE NOT (cut AND pos = 0 AND regexp_replace(piece0, '{tx._SPACE}+', '', 'g') = '')",
+    "clauses": "SELECT parent_id, parent_id || '#dieu' || article || '#khoan' || label || CASE WHEN n > 1 THEN '@' || CAST(n - 1 AS VARCHAR) ELSE '' END AS doc_id, "
+    "CASE WHEN title <> '' THEN title || chr(10) || piece ELSE piece END AS text FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY parent_id, article, label ORDER BY first, pos) AS n FROM labelled2) WHERE length(piece) >= 30",
+}
+
+
+@query(with_sql("docs", articled=_ARTICLES, pieces=_PIECES, labelled=_LABELLED, **_CLAUSES) + "SELECT doc_id, parent_id, text FROM clauses")
 def chunk_clauses(spark, d):
     return chunk.build_corpus(v.documents(spark, d), "clause").select("doc_id", "parent_id", "text")
 
@@ -165,7 +177,13 @@ def chunk_stats(spark, d):
     return chunk.corpus_stats(chunk.build_corpus(v.documents(spark, d), "article"))
 
 
-@query()
+@query(
+    with_sql("docs", articled=_ARTICLES, pieces=_PIECES, labelled=_LABELLED, chunks=_CHUNKS, **_CLAUSES)
+    + " UNION ALL ".join(
+        f"SELECT '{g}' AS granularity, count(*) AS n, CAST(sum(len({tx.words_sql('text')})) AS BIGINT) AS n_words FROM {t}"
+        for g, t in (("document", f"docs WHERE length(regexp_replace(coalesce(text, ''), '^{tx._SPACE}+|{tx._SPACE}+$', '', 'g')) >= 30"), ("article", "chunks"), ("clause", "clauses"))
+    )
+)
 def corpus_size_by_granularity(spark, d):
     docs = cut(v.documents(spark, d))
     parts = [chunk.build_corpus(docs, g).groupBy("granularity").agg(F.count("*").alias("n"), F.sum(tx.word_count(F.col("text"))).alias("n_words")) for g in ("document", "article", "clause")]
