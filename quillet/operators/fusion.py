@@ -1,4 +1,4 @@
-"""Fusion of runs and reranking. Runs are long: (qid, doc_id, score, rank)."""
+"""Fusion of runs and reranking. Runs are long: (qid, doc_id, score, rank), with ``run_id`` where a question has several lists."""
 
 from __future__ import annotations
 
@@ -15,14 +15,17 @@ def _stacked(runs: list[DataFrame], weights: list[float] | None) -> DataFrame:
     if len(weights) != len(runs):
         raise ValueError("runs and weights differ in number")
     parts = [
-        r.select("qid", "doc_id", "score", "rank", F.lit(i).alias("run"), F.lit(float(w)).alias("w"))
+        r.select(
+            "qid", "doc_id", "score", "rank", F.lit(i).alias("run"), F.lit(float(w)).alias("w"),
+            (F.col("run_id") if "run_id" in r.columns else F.lit("")).alias("list"),
+        )
         for i, (r, w) in enumerate(zip(runs, weights))
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def rrf(runs: list[DataFrame], weights: list[float] | None = None, K: int = 60, top_k: int = 100) -> DataFrame:
-    """Reciprocal rank fusion: the sum of w / (K + rank) by stored rank."""
+    """Reciprocal rank fusion: the sum of w / (K + rank) by stored rank, over every list of the question."""
     fused = _stacked(runs, weights).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") / (K + F.col("rank"))), 9).alias("score"))
     return ranked(fused, ["qid"], top_k)
 
@@ -46,10 +49,18 @@ def normalized(score: str, by: list[str], method: str) -> Column:
 def weighted(
     runs: list[DataFrame], weights: list[float], method: str = "minmax", top_k: int = 100, missing: float = 0.0
 ) -> DataFrame:
-    """Weighted sum of normalised scores; a run that lacks a document adds ``missing`` by its weight."""
-    scaled = _stacked(runs, weights).withColumn("s", normalized("score", ["run", "qid"], method))
+    """Weighted sum of normalised scores; a run that lacks a document adds ``missing`` by its weight.
+
+    Each list of a run is normalised by itself and has the whole weight of the run.
+    """
+    scaled = _stacked(runs, weights).withColumn("s", normalized("score", ["run", "list", "qid"], method))
     held = scaled.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum("w").alias("held"))
-    return ranked(held.select("qid", "doc_id", F.round(F.col("s") + missing * (sum(weights) - F.col("held")), 9).alias("score")), ["qid"], top_k)
+    fill = F.lit(0.0)
+    if missing:
+        lists = scaled.select("qid", "run", "list", "w").distinct().groupBy("qid", "run").agg((F.sum("w") - F.max("w")).alias("more"))
+        held = held.join(lists.groupBy("qid").agg(F.sum("more").alias("more")), "qid")
+        fill = missing * (sum(weights) + F.col("more") - F.col("held"))
+    return ranked(held.select("qid", "doc_id", F.round(F.col("s") + fill, 9).alias("score")), ["qid"], top_k)
 
 
 def sweep_weights(one: DataFrame, other: DataFrame, grid: list[float], top_k: int = 100, method: str = "minmax") -> DataFrame:
@@ -64,18 +75,20 @@ def sweep_weights(one: DataFrame, other: DataFrame, grid: list[float], top_k: in
     return ranked(fused, ["w", "qid"], top_k)
 
 
-def rerank(run: DataFrame, scores: DataFrame, depth: int = 50) -> DataFrame:
+def rerank(run: DataFrame, scores: DataFrame, depth: int = 50, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """The first ``depth`` by new scores (``qid``, ``doc_id``, ``new``), the others below in their order.
 
+    ``keys`` name a ranking; those that ``scores`` has too join it.
+
     A document of the head without a new score has 0. The tail lies under the least head
     score by a millionth per place, so recall at full depth does not change.
     """
-    head = run.filter(F.col("rank") <= depth).join(scores, ["qid", "doc_id"], "left")
-    head = head.select("qid", "doc_id", F.coalesce("new", F.lit(0.0)).alias("score"))
-    floor = head.groupBy("qid").agg(F.min("score").alias("floor"))
-    tail = run.filter(F.col("rank") > depth).join(floor, "qid", "left")
-    tail = tail.select("qid", "doc_id", (F.coalesce("floor", F.lit(0.0)) - (F.col("rank") - depth) * 1e-6).alias("score"))
-    return ranked(head.unionByName(tail).withColumn("score", F.round("score", 7)), ["qid"])
+    head = run.filter(F.col("rank") <= depth).join(scores, [*(k for k in keys if k in scores.columns), "doc_id"], "left")
+    head = head.select(*keys, "doc_id", F.coalesce("new", F.lit(0.0)).alias("score"))
+    floor = head.groupBy(*keys).agg(F.min("score").alias("floor"))
+    tail = run.filter(F.col("rank") > depth).join(floor, list(keys), "left")
+    tail = tail.select(*keys, "doc_id", (F.coalesce("floor", F.lit(0.0)) - (F.col("rank") - depth) * 1e-6).alias("score"))
+    return ranked(head.unionByName(tail).withColumn("score", F.round("score", 7)), list(keys))
 
 
 def ceiling_table(recalls: DataFrame) -> DataFrame:

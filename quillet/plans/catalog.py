@@ -249,7 +249,7 @@ _PLACED = "SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid O
     with_sql(*_FOUR, s="SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM {r}" for r in _FOUR) + ") GROUP BY ALL") + _PLACED.format("s")
 )
 def rrf(spark, d):
-    return fusion.rrf([v.run(spark, d, k) for k in v.KINDS])
+    return fusion.rrf([v.all_runs(spark, d, k) for k in v.KINDS])
 
 
 _SCALES = {
@@ -269,7 +269,7 @@ for _m in _SCALES:
 
     @query(_weighted_sql(_m), f"weighted_{_m}")
     def _weighted(spark, d, method=_m):
-        return fusion.weighted([v.run(spark, d, k) for k in v.KINDS], list(_WEIGHTS), method)
+        return fusion.weighted([v.all_runs(spark, d, k) for k in v.KINDS], list(_WEIGHTS), method)
 
 
 _STEPS = [i / 10 for i in range(11)]
@@ -306,7 +306,10 @@ _RERANK = {
 
 @query(with_sql("run_bm25", "run_cross", **_RERANK) + "SELECT * FROM again")
 def rerank_merge(spark, d):
-    return _reranked(spark, d)
+    """Every bm25 ranking by every cross run of its question; ``scorer_id`` is empty where there is none."""
+    scores = v.all_runs(spark, d, "cross").select(F.col("run_id").alias("scorer_id"), "qid", "doc_id", F.col("score").alias("new"))
+    run = v.all_runs(spark, d, "bm25").join(scores.select("scorer_id", "qid").distinct(), "qid", "left").fillna("", ["scorer_id"])
+    return fusion.rerank(run, scores, 10, ("run_id", "scorer_id", "qid"))
 
 
 # --- metrics
@@ -398,7 +401,7 @@ for _rule in _KEEP:
 
     @query(with_sql("run_bm25", lists=_LISTS) + f"SELECT qid, d[1:greatest(1, least({_KEEP[_rule]}, 5, len(d)))] AS predicted FROM lists", f"cutoff_{_rule}")
     def _cutoff(spark, d, rule=_rule):
-        return cutoff.apply_cutoff(v.run(spark, d), rule, _VALUES[rule])
+        return cutoff.apply_cutoff(v.all_runs(spark, d), rule, _VALUES[rule], keys=("run_id", "qid"))
 
 
 SETTINGS = [*(("top_k", k) for k in range(1, 6)), *(("ratio", a / 100) for a in (60, 65, 70, 75, 80, 85, 90, 95, 99)), ("gap", None)]
@@ -818,13 +821,13 @@ def log_correlation(spark, d):
 
 @query(with_sql("run_bm25") + "SELECT qid, list(doc_id ORDER BY rank) AS ids FROM run_bm25 GROUP BY qid")
 def nest_run(spark, d):
-    nested = rankings.nest_run(v.run(spark, d), ["qid"])
-    return nested.select("qid", F.transform("ranked", lambda x: x["doc_id"]).alias("ids"))
+    nested = rankings.nest_run(v.all_runs(spark, d), ["run_id", "qid"])
+    return nested.select("run_id", "qid", F.transform("ranked", lambda x: x["doc_id"]).alias("ids"))
 
 
 @query(with_sql("pred_bm25") + "SELECT qid, unnest(predicted) AS doc_id, CAST(generate_subscripts(predicted, 1) AS INTEGER) AS pos FROM pred_bm25")
 def unnest_predictions(spark, d):
-    return rankings.unnest_predictions(v.predictions(spark, d), ["qid"])
+    return rankings.unnest_predictions(v.all_predictions(spark, d), ["run_id", "qid"])
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

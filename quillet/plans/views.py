@@ -51,6 +51,18 @@ def predictions(spark: SparkSession, d: str, kind: str = "bm25") -> DataFrame:
     return latest(rows.join(asked, "qid", "left_semi"), ["qid"], "saved_at").select("qid", "predicted")
 
 
+def all_runs(spark: SparkSession, d: str, kind: str = "") -> DataFrame:
+    """Every ranking of one kind, or of all, by (run_id, qid); also of questions that are not for development."""
+    keys = ["run_id", "qid"]
+    return ranked(run_items(table(spark, d, "runs").filter(F.col("run_id").startswith(kind)), keys), keys)
+
+
+def all_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The latest prediction of every (run_id, qid)."""
+    rows = table(spark, d, "predictions").select("run_id", "qid", "predicted", "saved_at")
+    return latest(rows, ["run_id", "qid"], "saved_at").drop("saved_at")
+
+
 def answers(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "task2_train").select("qid", "text", "answer", "loaded_at")
     return latest(rows, ["qid"], "loaded_at").select("qid", "text", "answer")
