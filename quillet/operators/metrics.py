@@ -64,12 +64,13 @@ def strict_scores(gold: DataFrame, predictions: DataFrame) -> tuple[float, float
     return row["macro_recall"], row["macro_precision"]
 
 
-def submission_checks(questions: DataFrame, predictions: DataFrame, cap: int = CAP) -> DataFrame:
-    """(``problem``, ``qid``) of everything that would not be accepted."""
+def submission_checks(questions: DataFrame, predictions: DataFrame, cap: int = CAP, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``problem``, ``qid``) of everything that would not be accepted, for each submission that ``by`` names."""
     asked = questions.select("qid").distinct()
-    p = predictions.select("qid", "predicted")
+    p = predictions.select(*by, "qid", "predicted")
+    due = p.select(*by).distinct().crossJoin(asked) if by else asked
     kinds = {
-        "missing": asked.join(p, "qid", "left_anti"),
+        "missing": due.join(p, [*by, "qid"], "left_anti"),
         "extra": p.join(asked, "qid", "left_anti"),
         "over_cap": p.filter(F.size("predicted") > cap),
         "duplicates": p.filter(F.size(F.array_distinct("predicted")) < F.size("predicted")),
@@ -78,7 +79,7 @@ def submission_checks(questions: DataFrame, predictions: DataFrame, cap: int = C
     }
     out = None
     for kind, df in kinds.items():
-        part = df.select(F.lit(kind).alias("problem"), "qid").distinct()
+        part = df.select(F.lit(kind).alias("problem"), *by, "qid").distinct()
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -382,7 +382,8 @@ UNION ALL SELECT 'empty', qid FROM pred_bm25 WHERE coalesce(len(predicted), 0) =
 UNION ALL SELECT 'null_ids', qid FROM pred_bm25 WHERE len(list_filter(predicted, lambda x: x IS NULL)) > 0"""
 )
 def submission_checks(spark, d):
-    return metrics.submission_checks(v.questions(spark, d), v.predictions(spark, d))
+    """Every run is a submission of its own."""
+    return metrics.submission_checks(v.questions(spark, d), v.all_predictions(spark, d), by=("run_id",))
 
 
 # --- cutoffs

@@ -67,3 +67,8 @@ def test_reranking_takes_every_pair_of_runs(spark, folder):
 def test_cutoffs_take_every_run(spark, folder, rule, kept):
     got = {(r.run_id, r.qid): r.predicted for r in rows(spark, folder, f"cutoff_{rule}")}
     assert len(got) == 7 and got["bm25-1", "7"] == kept
+
+
+def test_every_submission_is_checked(spark, folder):
+    got = {(r.problem, r.run_id, r.qid) for r in rows(spark, folder, "submission_checks")}
+    assert got == {("extra", "bm25-1", "7"), ("extra", "dense-1", "7"), ("null_ids", "dense-1", "d")}
