@@ -143,6 +143,13 @@ def unreachable(gold: DataFrame, corpus: DataFrame) -> DataFrame:
     return gold.join(text, "doc_id", "left").groupBy("qid").agg(F.count("_ok").alias("n")).filter("n = 0").select("qid")
 
 
+def quarantined(gold: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Questions that have gold documents, all of them in the corpus and blank; one that is absent does not count as blank."""
+    full = F.max(F.when(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "") != "", 1).otherwise(0))
+    blank = corpus.groupBy("doc_id").agg(full.alias("_full")).filter("_full = 0").select("doc_id", F.lit(1).alias("_blank"))
+    return gold.join(blank, "doc_id", "left").groupBy("qid").agg(F.count_if(F.col("_blank").isNull()).alias("n")).filter("n = 0").select("qid")
+
+
 def duplicate_passages(corpus: DataFrame) -> DataFrame:
     """(``fingerprint``, ``n_docs``, ``first_doc``) of texts that several documents hold."""
     rows = corpus.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")).dropna().distinct()

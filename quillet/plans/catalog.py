@@ -688,8 +688,10 @@ _SPLIT = {
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    sizes = v.gold(spark, d, "queries_train").groupBy("qid").agg(F.count("*").alias("g"))
-    rows = v.questions(spark, d, "queries_train").select("qid").join(sizes, "qid", "left")
+    """Of the questions that can be answered: the quarantined ones leave before the strata are sized."""
+    gold = v.gold(spark, d, "queries_train")
+    sizes = gold.groupBy("qid").agg(F.count("*").alias("g"))
+    rows = v.questions(spark, d, "queries_train").select("qid").join(analysis.quarantined(gold, v.corpus(spark, d)), "qid", "left_anti").join(sizes, "qid", "left")
     return dataset.stratified_split(rows.select("qid", F.least(F.coalesce("g", F.lit(0)), F.lit(5)).alias("stratum")), "qid", "stratum")
 
 

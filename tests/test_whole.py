@@ -72,3 +72,14 @@ def test_cutoffs_take_every_run(spark, folder, rule, kept):
 def test_every_submission_is_checked(spark, folder):
     got = {(r.problem, r.run_id, r.qid) for r in rows(spark, folder, "submission_checks")}
     assert got == {("extra", "bm25-1", "7"), ("extra", "dense-1", "7"), ("null_ids", "dense-1", "d")}
+
+
+def test_split_leaves_out_questions_with_blank_gold_only(spark, tmp_path):
+    docs = [("full", "x"), ("blank", "\u00a0\n"), ("null", None)]
+    corpus = spark.createDataFrame([(k, t, ("t",), 1) for k, t in docs], "doc_id string, text string, meta struct<title:string>, loaded_at int")
+    corpus.write.parquet(f"{tmp_path}/corpus_document.parquet")
+    gold = {"both": ["blank", "null#dieu1"], "some": ["blank", "full"], "absent": ["blank", "gone"], "none": [], "unknown": None}
+    train = spark.createDataFrame([(q, "t", g, "s", 1) for q, g in gold.items()], "qid string, text string, relevant array<string>, source string, loaded_at int")
+    train.write.parquet(f"{tmp_path}/queries_train.parquet")
+    assert {r.qid for r in rows(spark, str(tmp_path), "dev_split")} == {"some", "absent", "none", "unknown"}
+    assert {(r.stratum, r.n_all) for r in rows(spark, str(tmp_path), "dev_split_report")} == {(0, 2), (2, 2)}
