@@ -291,9 +291,9 @@ def fusion_weight_sweep(spark, d):
     return metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), made, ks=(10, 100), by=("w",)).select("w", "recall_100", "recall_10", "mrr_10")
 
 
-def _reranked(spark: SparkSession, d: str, depth: int = 10) -> DataFrame:
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
     scores = v.run(spark, d, "cross").select("qid", "doc_id", F.col("score").alias("new"))
-    return fusion.rerank(v.run(spark, d, "bm25"), scores, depth)
+    return fusion.rerank(v.run(spark, d, "bm25"), scores)
 
 
 _RERANK = {
@@ -309,7 +309,7 @@ def rerank_merge(spark, d):
     """Every bm25 ranking by every cross run of its question; ``scorer_id`` is empty where there is none."""
     scores = v.all_runs(spark, d, "cross").select(F.col("run_id").alias("scorer_id"), "qid", "doc_id", F.col("score").alias("new"))
     run = v.all_runs(spark, d, "bm25").join(scores.select("scorer_id", "qid").distinct(), "qid", "left").fillna("", ["scorer_id"])
-    return fusion.rerank(run, scores, 10, ("run_id", "scorer_id", "qid"))
+    return fusion.rerank(run, scores, keys=("run_id", "scorer_id", "qid"))
 
 
 # --- metrics
@@ -620,7 +620,7 @@ def ceiling_table(spark, d):
     + "SELECT ceiling, achieved, CASE WHEN ceiling < 0.80 THEN 'RETRIEVER' WHEN ceiling - achieved > 0.10 THEN 'RERANKER' ELSE 'RETRIEVER/stop' END AS verdict FROM r"
 )
 def ceiling_verdict(spark, d):
-    base = metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), v.run(spark, d), (10,)).select(F.col("recall_10").alias("ceiling"))
+    base = metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), v.run(spark, d), (50,)).select(F.col("recall_50").alias("ceiling"))
     made = metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), _reranked(spark, d), (5,)).select(F.col("recall_5").alias("achieved"))
     return base.crossJoin(F.broadcast(made)).withColumn("verdict", fusion.ceiling_verdict(F.col("ceiling"), F.col("achieved")))  # one row each
 

@@ -83,3 +83,13 @@ def test_split_leaves_out_questions_with_blank_gold_only(spark, tmp_path):
     train.write.parquet(f"{tmp_path}/queries_train.parquet")
     assert {r.qid for r in rows(spark, str(tmp_path), "dev_split")} == {"some", "absent", "none", "unknown"}
     assert {(r.stratum, r.n_all) for r in rows(spark, str(tmp_path), "dev_split_report")} == {(0, 2), (2, 2)}
+
+
+def test_reranking_scores_fifty(spark, tmp_path):
+    runs = [("bm25-1", "d", [(f"{i:02}", 100.0 - i) for i in range(1, 53)]), ("cross-1", "d", [("50", 9.0), ("51", 99.0)])]
+    spark.createDataFrame(runs, ITEMS).write.parquet(f"{tmp_path}/runs.parquet")
+    dev = [("d", "t", ["50"], "s", 1)]
+    spark.createDataFrame(dev, "qid string, text string, relevant array<string>, source string, loaded_at int").write.parquet(f"{tmp_path}/queries_dev.parquet")
+    got = {r["rank"]: r.doc_id for r in rows(spark, str(tmp_path), "rerank_merge")}
+    assert got[1] == "50" and (got[51], got[52]) == ("51", "52")
+    assert [tuple(r) for r in rows(spark, str(tmp_path), "ceiling_verdict")] == [(1.0, 1.0, "RETRIEVER/stop")]
