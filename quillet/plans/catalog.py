@@ -780,7 +780,7 @@ def extractive_answers(spark, d):
     + "SELECT qid, 'Các đoạn văn bản pháp luật:' || chr(10) || c || chr(10) || chr(10) || 'Câu hỏi: ' || coalesce(text, '') || chr(10) || 'Trả lời:' AS prompt FROM num JOIN dev USING (qid)"
 )
 def prompt_build(spark, d):
-    return qa.prompts(v.questions(spark, d), _contexts(spark, d), "minimal", 400)
+    return qa.prompts(v.questions(spark, d), _contexts(spark, d), "minimal")
 
 
 @query(

@@ -1,5 +1,7 @@
 """Queries take all of their tables, also what the SQL leaves out."""
 
+import shutil
+
 import pytest
 
 from quillet.operators import fusion
@@ -93,3 +95,11 @@ def test_reranking_scores_fifty(spark, tmp_path):
     got = {r["rank"]: r.doc_id for r in rows(spark, str(tmp_path), "rerank_merge")}
     assert got[1] == "50" and (got[51], got[52]) == ("51", "52")
     assert [tuple(r) for r in rows(spark, str(tmp_path), "ceiling_verdict")] == [(1.0, 1.0, "RETRIEVER/stop")]
+
+
+def test_prompts_hold_passages_of_1500_characters(spark, folder, tmp_path):
+    shutil.copytree(folder, tmp_path, dirs_exist_ok=True)
+    corpus = spark.createDataFrame([("a", "x" * 1500, ("t",), 1), ("b", "y" * 1501, ("t",), 1)], "doc_id string, text string, meta struct<title:string>, loaded_at int")
+    corpus.write.parquet(f"{tmp_path}/corpus_document.parquet")
+    (made,) = rows(spark, str(tmp_path), "prompt_build")
+    assert "x" * 1500 + "\n" in made.prompt and "y" * 1500 + " …" in made.prompt
