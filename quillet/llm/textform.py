@@ -55,8 +55,11 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def canonical_sql(text: str) -> str:
-    """The DuckDB expression that brings the expression ``text`` to one form."""
+def canonical_sql(text: str, nested: bool = False) -> str:
+    """The DuckDB expression that brings the expression ``text`` to one form.
+
+    With ``nested`` the ligatures and Roman numerals of a text with foreign letters are spelled out too.
+    """
     source, target = (a + b for a, b in zip(_wide(), PLAIN_SIGNS))
     t = f"regexp_replace({text}, {_quoted(INVISIBLE)}, '', 'g')"
     t = f"regexp_replace({t}, {_quoted(LINE_ENDS)}, chr(10), 'g')"
@@ -73,6 +76,9 @@ def canonical_sql(text: str) -> str:
     for sign, letters_of in _spelled():
         spelled = f"replace({spelled}, {_quoted(sign)}, {_quoted(letters_of)})"
     codes = "[\\x{FB00}-\\x{FB06}\\x{2160}-\\x{217B}]"
+    if nested:
+        # A step of its own, so that letters spelled out of a sign count for the word that it stands in.
+        t = f"(SELECT CASE WHEN regexp_matches(t1, {_quoted(codes)}) THEN {spelled} ELSE t1 END FROM (SELECT {t} AS t1))"
     return (
         "(SELECT regexp_replace(regexp_replace(nfc_normalize("
         f"CASE WHEN regexp_matches(t1, {_quoted(FOREIGN)}) THEN {mixed} "
@@ -83,7 +89,7 @@ def canonical_sql(text: str) -> str:
 
 def canonical_batches(column: str, out: str):
     """A function for mapInArrow that adds ``out``, the consistent form of ``column``."""
-    sql = f"SELECT {canonical_sql('t')} AS c FROM (SELECT t FROM batch)"
+    sql = f"SELECT {canonical_sql('t', nested=True)} AS c FROM (SELECT t FROM batch)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb

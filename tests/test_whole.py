@@ -103,3 +103,12 @@ def test_prompts_hold_passages_of_1500_characters(spark, folder, tmp_path):
     corpus.write.parquet(f"{tmp_path}/corpus_document.parquet")
     (made,) = rows(spark, str(tmp_path), "prompt_build")
     assert "x" * 1500 + "\n" in made.prompt and "y" * 1500 + " …" in made.prompt
+
+
+def test_ligatures_beside_look_alikes(spark):
+    from quillet.llm.textform import canonical_text
+
+    texts = ["\ufb01le \u0441ar \u2160", "file car I", "\ufb01le", "\u0416\u2161", "\ufb01l\u0435", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [r.canonical for r in canonical_text(df, "t").orderBy("id").collect()]
+    assert got == ["file car I", "file car I", "file", "\u0416II", "file", None]
