@@ -91,8 +91,8 @@ def copied_share(question: str, answer: str) -> float:
     import zstandard as zstd
 
     q, a = (" ".join(WORDS(x.lower())).encode() for x in (question, answer))
-    if len(q) < 8 or not a:
-        return 1.0
+    if len(q) < 8 or not a:  # too short for a dictionary
+        return 0.0 if a and a == q else 1.0
     given = zstd.ZstdCompressionDict(q, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     slim = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
     with_it = len(zstd.ZstdCompressor(level=LEVEL, dict_data=given, **slim).compress(a)) - 8

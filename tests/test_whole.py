@@ -112,3 +112,10 @@ def test_ligatures_beside_look_alikes(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = [r.canonical for r in canonical_text(df, "t").orderBy("id").collect()]
     assert got == ["file car I", "file car I", "file", "\u0416II", "file", None]
+
+
+@pytest.mark.parametrize("question, answer, expected", [("Phí?", "phí.", "copy"), ("Phí?", "Thuế.", None), ("?", "Phí.", None)])
+def test_copies_of_short_questions(question, answer, expected):
+    from quillet.llm import defects
+
+    assert defects.defect(question, answer, {}, defects._automaton()) == expected
