@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillet.llm.textform import canonical_sql
+from quillet.llm.textform import LOOK_ALIKES
 
 ITEMS = """
   items AS (
@@ -44,13 +44,63 @@ WITH {ITEMS},
 """
 
 
-def _looks(table: str, key: str, column: str) -> str:
-    return f"SELECT DISTINCT '{table}' AS tbl, {key} AS key, {column} AS raw, {canonical_sql(column)} AS text FROM {table}"
+def _one_of(c: str, ranges: list[tuple[int, int]]) -> str:
+    return "(" + " OR ".join(f"unicode({c}) BETWEEN {a} AND {b}" for a, b in ranges) + ")"
+
+
+# Code points that show nothing, spaces, and line ends.
+NOTHING = [
+    (0, 8), (14, 31), (127, 127), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0x200B, 0x200F),
+    (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE007F),
+]
+BLANKS = [(0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+BREAKS = [(11, 13), (0x85, 0x85), (0x2028, 0x2029)]
+# Signs, and the letters that they are drawn like.
+DRAWN = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ð": "Đ", "Ɖ": "Đ", "ɡ": "g", "µ": "μ", "‐": "-", "‑": "-"}
+ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
+
+
+def looks(texts: str) -> str:
+    """Views ending in ``looks`` (tbl, key, raw, text) of the texts (tbl, key, raw): one form, character by character.
+
+    Made of tables of characters in place of expressions over whole texts, as an independent check of the text form.
+    """
+    signs = DRAWN | {chr(0x2160 + i): r for i, r in enumerate(ROMAN)} | {chr(0x2170 + i): r.lower() for i, r in enumerate(ROMAN)}
+    alike = [(a, b) for own in LOOK_ALIKES.values() for a, b in zip(*own)]
+    values = lambda pairs: ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    return f"""
+  signs(c, d) AS (VALUES {values(signs.items())}),
+  alike(c, d) AS (VALUES {values(alike)}),
+  given AS (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT tbl, key, raw FROM ({texts}) WHERE raw IS NOT NULL)),
+  singles AS (SELECT id, unnest(l) AS c, generate_subscripts(l, 1) AS pos FROM (SELECT id, regexp_extract_all(replace(raw, chr(13) || chr(10), chr(10)), '(?s).') AS l FROM given)),
+  plain AS (SELECT id, string_agg(CASE WHEN {_one_of('s.c', NOTHING)} THEN '' WHEN {_one_of('s.c', BLANKS)} THEN ' ' WHEN {_one_of('s.c', BREAKS)} THEN chr(10)
+    WHEN unicode(s.c) BETWEEN 65281 AND 65374 THEN chr(CAST(unicode(s.c) - 65248 AS INTEGER)) ELSE coalesce(d, s.c) END, '' ORDER BY pos) AS t
+    FROM singles s LEFT JOIN signs USING (c) GROUP BY id),
+  letters AS (SELECT id, unnest(l) AS c, generate_subscripts(l, 1) AS pos FROM (SELECT id, regexp_extract_all(t, '(?s).') AS l FROM plain WHERE regexp_matches(t, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Armenian}}]'))),
+  edged AS (SELECT *, regexp_matches(c, '[\\p{{L}}\\p{{M}}\\p{{N}}]') AS inside FROM letters),
+  bounded AS (SELECT *, CASE WHEN inside IS DISTINCT FROM lag(inside) OVER (PARTITION BY id ORDER BY pos) THEN 1 ELSE 0 END AS begins FROM edged),
+  worded AS (SELECT *, sum(begins) OVER (PARTITION BY id ORDER BY pos) AS w FROM bounded),
+  latin AS (SELECT w.*, d, bool_or(d IS NULL AND regexp_matches(w.c, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Armenian}}]')) OVER (PARTITION BY id, w) AS foreign_word FROM worded w LEFT JOIN alike USING (c)),
+  redrawn AS (SELECT id, string_agg(CASE WHEN foreign_word THEN c ELSE coalesce(d, c) END, '' ORDER BY pos) AS t FROM latin GROUP BY id),
+  looks AS (SELECT tbl, key, raw, trim(array_to_string(list_transform(string_split(nfc_normalize(coalesce(r.t, p.t, '')), chr(10)), lambda l: rtrim(l, ' ' || chr(9))), chr(10)), ' ' || chr(9) || chr(10)) AS text
+    FROM given LEFT JOIN plain p USING (id) LEFT JOIN redrawn r USING (id))"""
+
+
+def _terms_sql() -> str:
+    texts = """SELECT 'c' AS tbl, doc_id AS key, text AS raw FROM corpus_document WHERE text IS NOT NULL AND doc_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC NULLS LAST, text DESC) = 1"""
+    return f"""
+WITH {looks(texts)},
+  terms AS (SELECT key AS doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM looks),
+  held AS (SELECT count(DISTINCT doc_id) AS n FROM terms),
+  counted AS (SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM terms GROUP BY term)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     three = " UNION ALL ".join(
-        _looks(*x) for x in (("corpus_document", "doc_id", "text"), ("queries_train", "qid", "text"), ("task2_train", "qid", "answer"))
+        f"SELECT '{t}' AS tbl, {k} AS key, {c} AS raw FROM {t}"
+        for t, k, c in (("corpus_document", "doc_id", "text"), ("queries_train", "qid", "text"), ("task2_train", "qid", "answer"))
     )
     components = """
 WITH RECURSIVE links AS (
@@ -63,26 +113,18 @@ SELECT a AS qid, min(b) AS group_qid FROM reach GROUP BY a HAVING count(*) > 1
     return {
         "p1_found": FLOWS
         + "SELECT qid, doc_id FROM flows QUALIFY row_number() OVER (PARTITION BY qid ORDER BY flow DESC, doc_id) = 1",
+        "p1_ranking": FLOWS
+        + "SELECT qid, doc_id, flow, CAST(row_number() OVER (PARTITION BY qid ORDER BY flow DESC, doc_id) AS INTEGER) AS place FROM flows",
         "p2_found": f"""
-WITH looks AS ({three})
+WITH {looks(three)}
 SELECT DISTINCT a.tbl, a.key AS key_a, b.key AS key_b FROM looks a JOIN looks b
   ON a.tbl = b.tbl AND a.text = b.text AND a.key < b.key AND a.raw <> b.raw WHERE a.text <> ''""",
-        "p2_texts": f"SELECT DISTINCT tbl, key, text FROM ({three})",
+        "p2_texts": f"WITH {looks(three)} SELECT DISTINCT tbl, key, text FROM looks UNION SELECT tbl, key, NULL FROM ({three}) WHERE raw IS NULL",
         "p3_found": components,
-        "p4_found": f"""
-WITH terms AS (
-  SELECT doc_id, unnest(regexp_extract_all(lower({canonical_sql('text')}), '[\\p{{L}}\\p{{N}}]+')) AS term
-  FROM (SELECT doc_id, arg_max(text, loaded_at) AS text FROM corpus_document WHERE text IS NOT NULL GROUP BY doc_id)),
-  held AS (SELECT count(DISTINCT doc_id) AS n FROM terms),
-  counted AS (SELECT term, count(DISTINCT doc_id) AS docs FROM terms GROUP BY term)
-SELECT term, CASE WHEN docs <= 2 THEN 'rare' ELSE 'common' END AS verdict FROM counted, held WHERE docs <= 2 OR docs > 0.5 * n""",
-        "p4_terms": f"""
-WITH terms AS (
-  SELECT doc_id, unnest(regexp_extract_all(lower({canonical_sql('text')}), '[\\p{{L}}\\p{{N}}]+')) AS term
-  FROM (SELECT doc_id, arg_max(text, loaded_at) AS text FROM corpus_document WHERE text IS NOT NULL GROUP BY doc_id)),
-  held AS (SELECT count(DISTINCT doc_id) AS n FROM terms),
-  counted AS (SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM terms GROUP BY term)
-SELECT term, uses, docs, CASE WHEN docs <= 2 THEN 'rare' WHEN docs > 0.5 * n THEN 'common' END AS mark FROM counted, held""",
+        "p4_found": _terms_sql()
+        + "SELECT term, CASE WHEN docs <= 2 THEN 'rare' ELSE 'common' END AS verdict FROM counted, held WHERE docs <= 2 OR docs > 0.5 * n",
+        "p4_terms": _terms_sql()
+        + "SELECT term, uses, docs, CASE WHEN docs <= 2 THEN 'rare' WHEN docs > 0.5 * n THEN 'common' END AS mark FROM counted, held",
         "p7_found": TOP5
         + """, cuts AS (SELECT run_id, qid, list(doc_id ORDER BY place) AS best FROM best GROUP BY run_id, qid),
   saved AS (SELECT run_id, qid, predicted FROM predictions

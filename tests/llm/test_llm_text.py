@@ -21,6 +21,21 @@ def test_same_looks(spark):
     same = ["Hồ sơ 12, Theo", NFD("Hồ sơ 12, Theo"), "Ｈồ sơ １２， Τhеο", "Hồ​ sơ­ 12,　Theo  "]
     assert set(looks(spark, *same)) == {"Hồ sơ 12, Theo"}
     assert looks(spark, "Ðiều Ɖ", "a\r\nb \n", "ﬁ Ⅳ") == ["Điều Đ", "a\nb", "fi IV"]
+    # Signs that stand for letters beside letters of other scripts, and within words with look-alikes.
+    assert looks(spark, "ﬁle Ж", "file Ж", "Ⅳ khoản α", "IV khoản α", "ﬁΤ", "ⅣА") == ["file Ж", "file Ж", "IV khoản α", "IV khoản α", "fiT", "IVA"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aÂâđ\u0302\u0323 \t\n\r\u00a0\u200b\u00adＡ１ﬁⅣοΤЖаµÅ가\u1112.x"), max_size=12), min_size=1, max_size=30))
+def test_untouched_texts_are_in_the_form_already(texts):
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("b", pa.table({"i": list(range(len(texts))), "t": texts}))
+    want = [r[0] for r in con.sql(f"SELECT {textform.canonical_sql('t')} FROM b ORDER BY i").fetchall()]
+    made = textform.canonical_batches("t", "t")(iter([pa.record_batch([pa.array(texts)], names=["t"])]))
+    assert [x for b in made for x in b.column("t").to_pylist()] == want
 
 
 def test_different_looks(spark):
@@ -42,6 +57,8 @@ def test_look_alike_pairs(spark):
     df = spark.createDataFrame(rows, "key string, look string")
     assert {tuple(r) for r in textform.look_alike_pairs(df, "key", "look").collect()} == {("1", "2"), ("2", "3")}
     assert textform.look_alike_pairs(df.limit(0), "key", "look").count() == 0
+    classes = textform.look_alike_classes(df, "key", "look").collect()
+    assert sorted(r.key for r in classes) == ["1", "2", "3"] and len({r.look for r in classes}) == 1 and len({r.spelling for r in classes}) == 2
 
 
 @pytest.fixture(scope="module")
