@@ -2,7 +2,8 @@
 
 Copies show by compression: an answer that a zstandard dictionary made of its question
 shrinks to almost nothing says only the question again. Languages and refusals are known
-by dictionaries, broken-off answers by a model of the contexts in which sentences end.
+by dictionaries, broken-off answers by marks of omission and by a model of the contexts in
+which sentences end, counted over all answers.
 """
 
 from __future__ import annotations
@@ -11,24 +12,25 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.textform import canonical_text
+from quillet.llm.textform import canonical_batches
+from quillet.session import cut
 
 #: A copy keeps at most this share of its compressed size when the question is the dictionary.
 COPY_SHARE = 0.34
 #: Level of compression; the shares hardly differ between levels.
 LEVEL = 5
-#: Characters that closing formulas and marks of omission may take up at the end of an answer.
-TAIL = 300
-#: Contexts of the terminal model that are seen less often say nothing.
+#: Contexts that other answers hold less often say nothing.
 LEAST_SEEN = 30
-#: Of contexts seen that often, those that end a sentence more rarely break an answer off.
-LEAST_END = 0.002
-#: Contexts that the model holds at most, the most frequent ones.
-MAX_CONTEXTS = 100_000
+#: Of contexts seen that often, those that end a sentence more rarely break an answer off, and
+#: those that end one at least so often complete an answer that only lacks its mark.
+LEAST_END, SURE_END = 0.002, 0.9
+#: Distinct contexts that a task counts before it sends them on.
+FLUSH = 200_000
 
 # Words that head an answer without saying anything.
 PREFIX = re.compile(r"^\W*(?:(?:câu\s+)?trả lời|đáp án|đáp|answer|réponse|response|a)\s*[:：\-]\s*", re.I)
@@ -52,6 +54,12 @@ REFUSALS = (
     "unable to provide", "not able to answer", "i am an ai", "as an ai", "cannot help with", "can't help with",
     "je ne peux pas répondre", "je ne suis pas en mesure", "impossible de répondre", "ne pouvons pas répondre",
 )
+# Phrases of sentences that open an answer without being one.
+COURTESIES = (
+    "cảm ơn", "cám ơn", "xin chào", "chào bạn", "chào anh", "chào chị", "kính chào", "kính gửi", "thân gửi", "xin lỗi", "rất tiếc", "thành thật",
+    "câu hỏi của bạn", "thắc mắc của bạn", "vấn đề bạn hỏi", "đã nhận được", "đã tiếp nhận", "thank you", "thanks for", "hello", "dear ", "sorry",
+    "your question", "merci", "bonjour", "désolé", "votre question",
+)
 # Common words of languages; letters that only Vietnamese has count for it as well.
 LANGUAGES = {
     "vi": "và của các có được trong theo cho không người này với là một những khi đã phải từ bản số điều tại do nếu thì về gồm hoặc hồ sơ",
@@ -61,24 +69,25 @@ LANGUAGES = {
     "es": "el los las del y que es una por con para no se su al o debe puede este esta según",
 }
 VIETNAMESE = re.compile("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
-# Closing formulas and notes that may follow a complete answer.
+# Closing formulas and notes that may follow a complete answer, from their first word on.
 CLOSING = re.compile(
-    r"(?:\s*(?:thân ái|thân mến|trân trọng(?: kính chào| cảm ơn)?|kính chào|kính thư|cảm ơn bạn|xin cảm ơn|"
-    r"chúc bạn[^.!?\n]{0,40}|\(?(?:ban biên tập|bbt)\)?|best regards|regards|cordialement)\s*[.!]*(?:/\.)?"
-    r"|\s*\(?(?:nguồn|căn cứ|theo|xem|trích|tham khảo)\s*:\s*[^\n;]{0,120}?\d+/\d{4}/[\w\-Đđ]+\s*\)?\.?"
-    r"|\s*\([^()\n]{0,60}\d+/\d{4}/[\w\-Đđ]+\s*\)\.?)\s*$",
+    r"(?:(?:thân ái|thân mến|trân trọng(?: kính chào| cảm ơn)?|kính chào|kính thư|cảm ơn bạn|xin cảm ơn|"
+    r"chúc bạn[^.!?\n]{0,40}|\(?(?:ban biên tập|bbt)\)?|best regards|regards|cordialement)\s*+[.!]*(?:/\.)?"
+    r"|\(?(?:nguồn|căn cứ|theo|xem|trích|tham khảo)\s*+:\s*+[^\n;]{0,120}?\d+/\d{4}/[\w\-Đđ]+\s*+\)?\.?"
+    r"|\([^()\n]{0,60}\d+/\d{4}/[\w\-Đđ]+\s*+\)\.?)\s*+$",
     re.I,
 )
+CLOSING_BEGINS = re.compile(r"\(|\b(?:thân|trân|kính|cảm|xin|chúc|ban|bbt|best|regards|cordialement|nguồn|căn|theo|xem|trích|tham)\b", re.I)
 CUT_MARK = re.compile(
-    r"(?:…|\.\.\.|\[\s*\.*\s*\]|[\[(][^\[\]()]{0,25}(?:cắt|tiếp|lược|còn nữa|continued|suite)[^\[\]()]{0,25}[\])])\W*$", re.I
+    r"(?:…|\.\.\.|\[\s*+\.*\s*+\]|[\[(][^\[\]()]{0,25}(?:cắt|tiếp|lược|còn nữa|continued|suite)[^\[\]()]{0,25}[\])])\W*+$", re.I
 )
-DANGLING = re.compile(r"(?:^|\n|[.;:!?]\s)\s*(?:\d{1,3}|[a-zđ])\s*[.)]\s*$|[,;:(\[\-–—/]\s*$", re.I)
-SENTENCE_END = re.compile(r"[.!?。]['\"»”)\]]*\s*$")
+DANGLING = re.compile(r"(?:(?:^|\n|[.;:!?]\s)\s*+(?:\d{1,3}|[a-zđ])\s*+[.)]|[,;:(\[\-–—/])$", re.I)
+SENTENCE_END = re.compile(r"[.!?。]['\"»”)\]]*$")
 MARKUP = re.compile(r"<[^<>]{0,200}>")
 WORDS = re.compile(r"[^\W_]+").findall
-PIECES = re.compile(r"([^\W_]+)")
+SPOKEN = re.compile(r"([^\W_]+)([\W_]*)").findall
 DIGITS = re.compile(r"\d+")
-STOPS, ENDS = frozenset(".!?:;"), (".", "!", "?")
+STOPS, ENDS = frozenset(".!?:;\n"), (".", "!", "?")
 
 
 def plain(text: str) -> str:
@@ -86,128 +95,219 @@ def plain(text: str) -> str:
     return PREFIX.sub("", MARKUP.sub(" ", text)).strip()
 
 
-def copied_share(question: str, answer: str) -> float:
-    """Compressed size of the answer's words given the question's, as a share of that without."""
-    import zstandard as zstd
+def _flat(text: str) -> bytes:
+    return " ".join(WORDS(text.lower())).encode()
+
+
+class Copies:
+    """Tells copies of questions; holds what is made once per task."""
+
+    def __init__(self) -> None:
+        import zstandard as zstd
+
+        self.zstd = zstd
+        self.slim = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+        self.alone = zstd.ZstdCompressor(level=LEVEL, **self.slim)
+
+    def share(self, question: bytes, answer: bytes) -> float:
+        """Compressed size of the answer given the question, as a share of that without; 0 for the same words.
 
-    q, a = (" ".join(WORDS(x.lower())).encode() for x in (question, answer))
-    if len(q) < 8 or not a:  # too short for a dictionary
-        return 0.0 if a and a == q else 1.0
-    given = zstd.ZstdCompressionDict(q, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-    slim = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-    with_it = len(zstd.ZstdCompressor(level=LEVEL, dict_data=given, **slim).compress(a)) - 8
-    without = len(zstd.ZstdCompressor(level=LEVEL, **slim).compress(a)) - 8
-    return max(with_it, 1) / max(without, 1)
+        The frame of a compressed text outweighs a short question, so the same words, of any
+        length, are known before anything is compressed.
+        """
+        if not answer or not question:
+            return 1.0
+        if question == answer:
+            return 0.0
+        given = self.zstd.ZstdCompressionDict(question, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
+        with_it = self.zstd.ZstdCompressor(level=LEVEL, dict_data=given, **self.slim).compress(answer)
+        return max(len(with_it) - 8, 1) / max(len(self.alone.compress(answer)) - 8, 1)
+
+
+_COMMON: dict[str, list[str]] = {}
+for _k, _v in LANGUAGES.items():
+    for _w in _v.split():
+        _COMMON.setdefault(_w, []).append(_k)
 
 
 def language(text: str) -> str | None:
     """The language whose common words the text has most of; None where too few tell it."""
     words = WORDS(text.lower())
-    found = {k: sum(w in own for w in words) for k, own in _COMMON.items()}
-    found["vi"] += sum(bool(VIETNAMESE.search(w)) for w in words)
+    found = dict.fromkeys(LANGUAGES, 0)
+    for w, n in Counter(words).items():
+        for k in _COMMON.get(w, ()):
+            found[k] += n
+        if not w.isascii() and VIETNAMESE.search(w):
+            found["vi"] += n
     best = max(found, key=found.get)
     return best if found[best] >= max(2, len(words) / 12) else None
 
 
-_COMMON = {k: frozenset(v.split()) for k, v in LANGUAGES.items()}
-
-
-def _automaton():
+def _automaton(phrases: tuple[str, ...]):
     import ahocorasick
 
     made = ahocorasick.Automaton()
-    for phrase in REFUSALS:
+    for phrase in phrases:
         made.add_word(phrase, phrase)
     made.make_automaton()
     return made
 
 
-def refused(answer: str, automaton) -> bool:
-    """Whether the first thing that an answer says is that there will be none."""
-    flat = re.sub(r"\s+", " ", answer.lower())
-    first = re.split(r"(?<=[.!?])\s+", flat, maxsplit=1)[0]
-    return next(automaton.iter(first), None) is not None
+class Refusals:
+    """Tells answers whose first sentence that says anything declines to answer."""
+
+    def __init__(self) -> None:
+        self.refusals, self.courtesies = _automaton(REFUSALS), _automaton(COURTESIES)
+
+    def __call__(self, question: str, answer: str) -> bool:
+        """Sentences that only greet, thank, apologise or repeat the question are passed over."""
+        flat = " ".join(answer.lower().split())
+        if next(self.refusals.iter(flat), None) is None:
+            return False
+        asked = None
+        for sentence in re.split(r"(?<=[.!?])\s+", flat):
+            if next(self.refusals.iter(sentence), None) is not None:
+                return True
+            if next(self.courtesies.iter(sentence), None) is None:
+                asked = asked if asked is not None else set(WORDS(question.lower()))
+                if not asked.issuperset(WORDS(sentence)):
+                    return False
+        return False
 
 
 def contexts(text: str) -> list[tuple[str, bool]]:
     """Each pair of adjacent words of a clause with whether a sentence ends after it."""
-    out = []
-    for line in DIGITS.sub("0", text.lower()).split("\n"):
-        parts = PIECES.split(line)
-        words, marks = parts[1::2], parts[2::2]
-        for k in range(len(words) - 1):
-            if not STOPS.intersection(marks[k]):
-                out.append((f"{words[k]} {words[k + 1]}", marks[k + 1][:1] in ENDS))
+    out, last, gap = [], None, ""
+    for word, after in SPOKEN(DIGITS.sub("0", text.lower())):
+        if last is not None and (gap == " " or not STOPS.intersection(gap)):
+            out.append((f"{last} {word}", after[:1] in ENDS))
+        last, gap = word, after
     return out
 
 
-def _shape(a: str, b: str) -> str:
-    return DIGITS.sub("0", f"{a} {b}".lower())
+def _spaced(text: str) -> str:
+    """Runs of white space as one line end or one blank."""
+    return re.sub(r"[^\S\n]+", " ", re.sub(r"\s*\n\s*", "\n", text)).strip()
 
 
-def broken_off(answer: str, ends: dict[str, float]) -> bool:
-    """Whether an answer stops before it is complete.
+def _without_closing(body: str) -> str:
+    """The text before a closing formula or source note at its end; the text itself where there is none.
 
-    Closing formulas and source notes are set aside first. What remains must end like a
-    sentence, without a mark of omission or a list number that nothing follows, and not
-    in a context that, in all answers, practically never ends a sentence.
+    With single blanks, either takes up at most 150 characters before the last word, which
+    may be of any length; so nothing earlier can begin one.
     """
-    body = answer.rstrip()[-TAIL:]
-    if CUT_MARK.search(body):
-        return True
+    last = body.rstrip(" \n.!)/")
+    first = max(0, max(last.rfind(" "), last.rfind("\n")) - 150)
+    at = next((m.start() for m in CLOSING_BEGINS.finditer(body, first) if CLOSING.match(body, m.start())), len(body))
+    return body[:at].rstrip()
+
+
+def ending(answer: str) -> tuple[str, str | None]:
+    """How an answer ends, closing formulas and source notes set aside, and its last context.
+
+    ``"cut"``: it ends in a mark of omission, a list number that nothing follows or a sign
+    that something follows; ``"marked"``: it ends like a sentence; ``"bare"``: it does not.
+    """
+    body = _spaced(answer)
+    if _omitted(body):
+        return "cut", None
     for _ in range(4):
-        shorter = CLOSING.sub("", body).rstrip()
+        shorter = _without_closing(body)
         if shorter == body or not shorter:
             break
         body = shorter
-    body = re.sub(r"\s*/\.$", "", body) if re.search(r"[.!?]\s*/\.$", body) else re.sub(r"\s*/\.$", ".", body)
-    if CUT_MARK.search(body) or DANGLING.search(body) or not SENTENCE_END.search(body):
-        return True
-    words = WORDS(body)
-    return len(words) > 1 and ends.get(_shape(words[-2], words[-1]), 1.0) < LEAST_END
-
-
-def terminal_model(answers: DataFrame, column: str) -> dict[str, float]:
-    """How often each frequent context ends a sentence, counted over all answers."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            seen: Counter[str] = Counter()
-            ended: Counter[str] = Counter()
-            for text in part[column]:
-                own = contexts(text)
-                seen.update(c for c, _ in own)
-                ended.update(c for c, end in own if end)
-            yield pd.DataFrame({"context": list(seen), "n": list(seen.values()), "ended": [ended[c] for c in seen]}).astype({"context": object, "n": "int64", "ended": "int64"})
-
-    frequent = (
-        answers.select(column)
-        .dropna()
-        .mapInPandas(count, "context string, n bigint, ended bigint")
-        .groupBy("context")
-        .agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
-        .filter(F.col("n") >= LEAST_SEEN)
-        .filter(F.col("ended") < LEAST_END * F.col("n"))
-        .orderBy(F.col("n").desc(), "context")
-        .limit(MAX_CONTEXTS)
-    )
-    return {r["context"]: r["ended"] / r["n"] for r in frequent.collect()}
-
-
-def defect(question: str | None, answer: str | None, ends: dict[str, float], automaton) -> str | None:
-    """The defect of one pair in consistent form, None for a sound answer."""
-    said = plain(answer or "")
-    if " ".join(WORDS(said.lower())) in PLACEHOLDERS:
-        return "empty"
-    if refused(said, automaton):
-        return "refusal"
-    asked = question or ""
-    if copied_share(asked, said) <= COPY_SHARE:
-        return "copy"
-    spoken, expected = language(said), language(asked)
-    if spoken and expected and spoken != expected:
-        return "other_language"
-    return "truncated" if broken_off(said, ends) else None
+    if body.endswith("/."):
+        body = body[:-2].rstrip()
+        body = body if body.endswith((".", "!", "?")) else body + "."
+    last, end = _last_word(body)
+    if _omitted(body) or DANGLING.search(body, max(0, last - 3)):
+        return "cut", None
+    how = "marked" if SENTENCE_END.search(body, end) else "bare"
+    before, word = DIGITS.sub("0", body[:last].lower()), DIGITS.sub("0", body[last:end].lower())
+    start, stop = _last_word(before)
+    joined = start < stop and not STOPS.intersection(before[stop:])
+    return how, f"{before[start:stop]} {word}" if joined and word else None
+
+
+def _last_word(text: str) -> tuple[int, int]:
+    """Where the last word begins and ends; twice 0 where there is none."""
+    end = len(text)
+    while end and not text[end - 1].isalnum():
+        end -= 1
+    start = end
+    while start and text[start - 1].isalnum():
+        start -= 1
+    return start, end
+
+
+def _omitted(text: str) -> bool:
+    """Whether a text ends in a mark of omission; one in brackets has at most 61 characters, the others no word."""
+    return CUT_MARK.search(text, max(0, _last_word(text)[1] - 64)) is not None
+
+
+class Judge:
+    """The defect of one pair in consistent form, as far as the pair itself shows it."""
+
+    def __init__(self) -> None:
+        self.copies, self.refused = Copies(), Refusals()
+
+    def __call__(self, question: str | None, answer: str | None) -> tuple[str | None, bool, str | None]:
+        """(defect, whether the answer ends in a mark, last context to be asked of the model)."""
+        said, asked = plain(answer or ""), question or ""
+        flat = _flat(said)
+        if flat.decode() in PLACEHOLDERS:
+            return "empty", False, None
+        if self.refused(asked, said):
+            return "refusal", False, None
+        if self.copies.share(_flat(asked), flat) <= COPY_SHARE:
+            return "copy", False, None
+        spoken, expected = language(said), language(asked)
+        if spoken and expected and spoken != expected:
+            return "other_language", False, None
+        how, last = ending(said)
+        if how == "cut" or (how == "bare" and last is None):
+            return "truncated", False, None
+        return None, how == "marked", last
+
+
+def _passed(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    judge = Judge()
+    seen: Counter[str] = Counter()
+    ended: Counter[str] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        n = len(seen)
+        made = pa.RecordBatch.from_arrays(
+            [
+                pa.array([1] * n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(list(seen), pa.string()),
+                pa.array(list(seen.values()), pa.int64()), pa.array([ended[c] for c in seen], pa.int64()), pa.nulls(n, pa.bool_()),
+            ],
+            names=COLUMNS,
+        )
+        seen.clear()
+        ended.clear()
+        return made
+
+    for batch in canonical_batches("answer", "answer")(canonical_batches("question", "question")(batches)):
+        rows = []
+        for question, answer in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist()):
+            own = contexts(answer) if answer else []
+            seen.update(c for c, _ in own)
+            ended.update(c for c, end in own if end)
+            defect, marked, last = judge(question, answer)
+            mine = [end for c, end in own if c == last] if last else []
+            rows.append((defect, xxhash.xxh3_64_intdigest(answer or "") - (1 << 63), last, len(mine), sum(mine), marked))
+        columns = list(zip(*rows)) or [()] * 6
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(rows), pa.int32()), batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, types))], names=COLUMNS
+        )
+        if len(seen) > FLUSH:
+            yield counted()
+    yield counted()
+
+
+COLUMNS = ["kind", "key", "defect", "digest", "context", "n", "ended", "marked"]
 
 
 def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> DataFrame:
@@ -217,22 +317,34 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> Data
     first of these that applies. A null answer is empty; with a null question only what
     the answer alone shows is found. A key with several rows has one row per distinct
     defect. An empty table gives no rows; other columns are left out, so none can clash.
-    """
-    from quillet.session import cut
-
-    pairs = df.select(F.col(key).alias("key"), F.col(question).alias("question"), F.col(answer).alias("answer")).distinct()
-    pairs = cut(canonical_text(canonical_text(pairs, "question", "question"), "answer", "answer"))
-    ends = df.sparkSession.sparkContext.broadcast(terminal_model(pairs, "answer"))  # at most MAX_CONTEXTS
 
-    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton()
-        for part in parts:
-            own = [defect(q, a, ends.value, automaton) for q, a in zip(part["question"], part["answer"])]
-            yield pd.DataFrame({"key": part["key"], "defect": pd.Series(own, index=part.index, dtype=object)}).dropna(subset=["defect"])
-
-    kind = df.schema[key].dataType.simpleString()
+    Texts are read once, where they lie, and are neither shuffled nor kept. An answer that
+    shows no defect itself is asked of the model by its last context: how often that ends a
+    sentence in the other answers, the answer's own uses and those of its exact copies left
+    out. With a final mark it is broken off if others practically never end there, without
+    one unless they nearly always do. The model holds all contexts.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = df.select(F.col(key).alias("key"), F.col(question).cast("string").alias("question"), F.col(answer).cast("string").alias("answer"))
+    kind = rows.schema["key"].dataType
+    arrow = to_arrow_type(kind)
+    schema = f"kind int, key {kind.simpleString()}, defect string, digest bigint, context string, n bigint, ended bigint, marked boolean"
+    parts = cut(rows.mapInArrow(lambda batches: _passed(batches, arrow), schema))
+    model = parts.filter("kind = 1").groupBy("context").agg(F.sum("n").alias("all_n"), F.sum("ended").alias("all_ended"))
+    asked = parts.filter("kind = 0 and defect is null and context is not null")
+    # Exact copies are one row here, and so are all that a hot context has of them.
+    answers = asked.groupBy("context", "digest", "marked").agg((F.count("*") * F.max("n")).alias("n"), (F.count("*") * F.max("ended")).alias("ended"))
+    others, ends = F.col("all_n") - F.col("n"), F.col("all_ended") - F.col("ended")
+    known = others >= LEAST_SEEN
+    answers = answers.join(model, "context", "left").fillna(0, ["all_n", "all_ended"])
+    broken = answers.filter(
+        F.when(F.col("marked"), known & (ends < LEAST_END * others)).otherwise(~(known & (ends >= SURE_END * others)))
+    )
+    late = asked.join(broken.select("digest").distinct(), "digest", "left_semi").withColumn("defect", F.lit("truncated"))
     return (
-        pairs.mapInPandas(label, f"key {kind}, defect string")
+        parts.filter("kind = 0 and defect is not null").select("key", "defect")
+        .unionByName(late.select("key", "defect"))
         .distinct()
         .select(F.col("key").alias(key), "defect")
     )

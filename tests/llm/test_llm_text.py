@@ -228,17 +228,61 @@ SOUND = "Theo Điều 5 Nghị định 12/2020/QĐ-LV, hộ gia đình phải gi
     ],
 )
 def test_defects(answer, expected):
-    assert defects.defect(QUESTION, answer, {}, defects._automaton()) == expected
+    defect, marked, _ = defects.Judge()(QUESTION, answer)
+    # A model without any context completes no answer that lacks its mark.
+    assert (defect or (None if marked else "truncated")) == expected
+
+
+def test_short_questions_are_copied_too():
+    judge = defects.Judge()
+    for question in ("Thuế?", "Án phí", "Án là gì?", "a", "Phí?"):
+        assert judge(question, question)[0] == "copy" and judge(question, question.upper() + "!!")[0] == "copy"
+    assert judge("Án là gì?", "Án là phán quyết của tòa.")[0] is None
+    assert judge("Thuế?", SOUND)[0] is None
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Cảm ơn bạn đã hỏi. Tôi không thể trả lời câu hỏi này.", "Xin chào. Cảm ơn bạn. Rất tiếc. Hệ thống từ chối giải đáp.", QUESTION + " Chúng tôi không bình luận.",
+        "Thank you for asking. I cannot answer this question.", "Chúng tôi đã nhận được câu hỏi. Vấn đề này vượt quá phạm vi tư vấn. Theo Điều 5, bạn hỏi nơi khác.",
+    ],
+)
+def test_refusals_after_sentences_that_say_nothing(answer):
+    assert defects.Judge()(QUESTION, answer)[0] == "refusal"
+
+
+def test_refusals_within_an_answer_are_none():
+    assert defects.Judge()(QUESTION, SOUND + " Hồ sơ không đủ thông tin thì bị trả lại.")[0] is None
+
+
+def test_whole_ends_are_read():
+    long = SOUND + " " + "Việc này do ủy ban thực hiện. " * 40
+    assert defects.ending(long + "Trong trường hợp" + "\n" * 400 + "…" + "!" * 500)[0] == "cut"
+    assert defects.ending(long + "\n2." + " " * 5000)[0] == "cut"
+    assert defects.ending(long + "\nNguồn:" + " " * 900 + "Quy chế 1/2020/QĐ-" + "L" * 700)[0] == "marked"
+    assert defects.ending("")[0] == "bare"
 
 
 def test_defects_of_a_table(spark):
-    rows = [("1", QUESTION, None, "x"), ("1", QUESTION, None, "x"), ("2", None, SOUND, "x"), ("3", QUESTION, QUESTION, "x"), ("4", QUESTION, "a" * 50_000, "x")]
+    rows = [("1", QUESTION, None, "x"), ("1", QUESTION, None, "x"), ("2", None, SOUND, "x"), ("3", QUESTION, QUESTION, "x"), ("4", QUESTION, "a" * 50_000, "x"), (None, QUESTION, "", "x")]
     df = spark.createDataFrame(rows, "qid string, text string, answer string, defect string")
     got = {tuple(r) for r in defects.defective_pairs(df, "qid", "text", "answer").collect()}
-    assert {("1", "empty"), ("3", "copy")} <= got and not any(k == "2" for k, _ in got)
+    assert got == {("1", "empty"), ("3", "copy"), ("4", "truncated"), (None, "empty")}
     assert defects.defective_pairs(df.limit(0), "qid", "text", "answer").count() == 0
 
 
+def test_the_terminal_model(spark):
+    inside = "Theo Điều 5, hộ gia đình phải nộp giấy chứng minh cho ủy ban và giữ giấy chứng minh tại nhà."
+    rows = [(f"s{i}", inside.replace("5", str(i))) for i in range(60)]
+    # Closed by a full stop within a phrase that goes on everywhere else; three exact copies do not vouch for each other.
+    rows += [(f"broken{i}", "Theo Điều 7, cá nhân phải nộp giấy chứng.") for i in range(3)]
+    rows += [("bare", "Theo Điều 7, cá nhân phải nộp sổ tại nhà"), ("open", "Theo Điều 7, cá nhân phải nộp sổ rồi"), ("new", "Theo Điều 7, cá nhân phải nộp cổ vật.")]
+    df = spark.createDataFrame([(k, QUESTION, a) for k, a in rows], "qid string, text string, answer string")
+    got = {tuple(r) for r in defects.defective_pairs(df, "qid", "text", "answer").collect()}
+    assert got == {*((f"broken{i}", "truncated") for i in range(3)), ("open", "truncated")}
+
+
 def topical(rng, subject):
     names = {"tax": ["thuế suất", "hóa đơn", "tờ khai"], "sport": ["trọng tài", "huấn luyện viên", "giải đấu"], "land": ["thửa đất", "địa chính", "tái định cư"]}
     who, tail = rng.choice(["Hộ gia đình", "Chi nhánh", "Cá nhân"]), rng.choice(["theo mẫu kèm theo", "nếu hồ sơ hợp lệ"])
