@@ -184,6 +184,32 @@ def edits(rng, words, n):
     return words
 
 
+def test_edit_distances():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert overlap.edit_distance(a, b) == row[-1]
+
+
+@pytest.mark.parametrize("spare, most", [(32, 1 << 29), (1, 1 << 15)])
+def test_bitmaps_lose_nothing(spark, monkeypatch, spare, most):
+    """A third of all rows hold one text; a bitmap that is full only stops fewer buckets."""
+    monkeypatch.setattr(overlap, "SPARE", spare)
+    monkeypatch.setattr(overlap, "MOST_BITS", most)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("a b c d e f g h i k l m n o p q".split()) + str(rng.randint(0, 30)) for _ in range(20)) for _ in range(200)]
+    left = [(f"l{i}", texts[0] if i % 3 == 0 else texts[i]) for i in range(150)]
+    right = [(f"r{i}", texts[0] if i % 3 == 0 else texts[(i + 7) % 200]) for i in range(200)]
+    frame = lambda rows: spark.createDataFrame(rows, "qid string, text string")
+    got = {tuple(r) for r in overlap.overlapping_records(frame(left), frame(right), "qid", "text").collect()}
+    assert got == {(a, b) for a, x in left for b, y in right if x == y}
+
+
 def test_overlaps(spark):
     rng = random.Random(8)
     vocabulary = [f"từ{i}" for i in range(300)]
