@@ -1,106 +1,93 @@
 """The N best items of every group, by descending score bands.
 
-Scores are cut into bands at quantiles; bands are worked off from the top, and groups that
-are full take no part in the next ones. Within a band, rows are limited before they are
-shuffled, so a group of millions of items never meets in one task.
+Every task first keeps the n best distinct items of each list that it reads: no other item
+of the list can be among the n best of its group. What is left is range-partitioned by
+score bands once. The bands are worked off from the top: they are ranked with exact ties,
+groups that are full take no part in the next ones, and the last band ends the rest. In a
+band rows are limited before they are shuffled by group, so a group of millions of items
+never meets in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.session import cut
+from quillet.session import cut, slices
 
-#: Scales whose quantiles are broadcast; with more they are joined.
+#: Scales whose borders are broadcast; with more they are joined.
 SMALL = 10_000
+#: The top band holds this many times the items that all groups together need.
+AMPLE = 2
 
 
-def _borders(scores: DataFrame, scale: list[str], quantiles: tuple[float, ...]) -> DataFrame:
-    """The quantiles of column ``s`` for each scale, as the array ``_q``; few rows are marked for broadcast."""
-    made = cut(scores.groupBy(*scale).agg(F.percentile_approx("s", list(quantiles), 1000).alias("_q")))
-    return F.broadcast(made) if made.limit(SMALL + 1).count() <= SMALL else made
+def _borders(items: DataFrame, keys: list[str], score: str, n: int, scale: str | None) -> tuple[DataFrame | None, int]:
+    """For each scale the lower borders of the bands but the last, ``_q``, from the top; and the number of bands.
 
-
-def _with_borders(rows: DataFrame, borders: DataFrame, scale: str | None) -> DataFrame:
-    if scale is None:
-        first = borders.first()
-        if not first or not first[0]:
-            return rows.limit(0).withColumn("_q", F.lit(None).cast("array<double>"))  # there is no score
-        return rows.withColumn("_q", F.array(*map(F.lit, first[0])))
-    return rows.join(borders.withColumnRenamed(scale, "_scale"), F.col(scale).eqNullSafe(F.col("_scale"))).drop("_scale")
-
-
-def _inside(score: Column, band: int, last: int) -> Column:
-    """Whether a score lies in the band; 0 is the top one, the last has no lower border."""
-    inside = F.lit(True)
-    if band < last:
-        inside &= score >= F.get("_q", F.lit(band))
-    if band:
-        inside &= score < F.get("_q", F.lit(band - 1))
-    return inside
-
-
-def _worked_off(band_rows: Callable[[int, DataFrame | None], DataFrame], keys: list[str], item: str, score: str, n: int, bands: int) -> DataFrame:
-    """Bands from the top: full groups leave, others take what they have into the next band."""
+    The first band has AMPLE times what the groups need, and the second half of the rest.
+    Where the first would hold all items, it is the only one.
+    """
+    row = items.agg(F.count("*").alias("m"), F.approx_count_distinct(F.struct(*keys)).alias("g")).first()
+    top = min(1.0, AMPLE * n * row["g"] / max(row["m"], 1))
+    if top == 1.0:
+        return None, 1
+    by = [F.col(scale).alias("_scale")] if scale else [F.lit(0).alias("_scale")]
+    made = cut(items.groupBy(*by).agg(F.percentile_approx(score, [1 - top, (1 - top) / 2], 1000).alias("_q")))
+    return (F.broadcast(made) if made.limit(SMALL + 1).count() <= SMALL else made), 3
+
+
+def _worked_off(items: DataFrame, keys: list[str], item: str, score: str, n: int, scale: str | None) -> DataFrame:
+    items = cut(items.select(*keys, item, score))
+    borders, bands = _borders(items, keys, score, n, scale)
+    if borders is None:
+        banded = items.withColumn("_band", F.lit(0))
+    else:
+        same = F.col(scale).eqNullSafe(F.col("_scale")) if scale else F.lit(0) == F.col("_scale")
+        placed = items.join(borders, same).withColumn("_band", F.size(F.filter("_q", lambda q: F.col(score) < q)))
+        spread = placed.repartitionByRange(slices(items.sparkSession), F.col("_band").asc(), F.col(score).desc(), F.xxhash64(item))
+        banded = cut(spread.select(*items.columns, "_band"))
     best = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(item).asc())
-    kept = None
+    kept: DataFrame | None = None
     for band in range(bands):
-        full = None if kept is None else kept.filter(F.col("place") == n).select(*(F.col(k).alias(f"_f_{k}") for k in keys))
-        now = band_rows(band, full)
+        now = banded.filter(F.col("_band") == band).select(*keys, item, score)
         if kept is not None:
+            full = kept.filter(F.col("place") == n).select(*(F.col(k).alias(f"_f_{k}") for k in keys))
+            now = now.join(full, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys]), "left_anti")
+            # Full groups stay as they are; the others take what they have into this band.
             now = kept.drop("place").unionByName(now)
         now = now.groupBy(*keys, item).agg(F.max(score).alias(score))
         kept = cut(now.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n))
     return kept
 
 
-def _without(rows: DataFrame, full: DataFrame | None, keys: list[str]) -> DataFrame:
-    if full is None:
-        return rows
-    return rows.join(full, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys]), "left_anti")
+def _usable(score: Column, item: Column) -> Column:
+    return score.isNotNull() & item.isNotNull() & ~F.isnan(score)
 
 
-def top_n(
-    items: DataFrame, keys: list[str], item: str, score: str, n: int, quantiles: tuple[float, ...] = (0.6, 0.25), scale: str | None = None
-) -> DataFrame:
+def top_n(items: DataFrame, keys: list[str], item: str, score: str, n: int, scale: str | None = None) -> DataFrame:
     """Rows (``keys``, ``item``, ``score``, ``place``) of the n best items of each group.
 
     Best is the highest score, then the smaller item; places count from 1. A repeated item
     has its highest score. Groups with fewer than n items keep all; null and NaN scores and
     null items do not exist. Null keys form a group. ``scale`` names a column whose values
-    have scores of their own range; quantiles are then taken for each. An empty table gives
-    no rows.
+    have scores of their own range; bands are then cut for each. An empty table gives no rows.
     """
-    rows = items.select(*keys, item, score).filter(F.col(score).isNotNull() & F.col(item).isNotNull() & ~F.isnan(score))
-    by = [scale] if scale else []
-    banded = _with_borders(rows, _borders(rows.select(*by, F.col(score).alias("s")), by, quantiles), scale)
-
-    def band_rows(band: int, full: DataFrame | None) -> DataFrame:
-        return _without(banded.filter(_inside(F.col(score), band, len(quantiles))), full, keys).select(*keys, item, score)
-
-    return _worked_off(band_rows, keys, item, score, n, len(quantiles) + 1)
+    rows = items.select(*keys, item, score).filter(_usable(F.col(score), F.col(item)))
+    return _worked_off(rows, keys, item, score, n, scale)
 
 
-def top_n_of_runs(runs: DataFrame, keys: list[str], n: int, quantiles: tuple[float, ...] = (0.6, 0.25), scale: str = "run_id") -> DataFrame:
-    """top_n of nested rankings: (``keys``, ``doc_id``, ``score``, ``place``).
+def top_n_of_runs(runs: DataFrame, keys: list[str], n: int, scale: str = "run_id") -> DataFrame:
+    """top_n of nested rankings: (``keys``, ``doc_id``, ``score``, ``place``); items are read as in run_items.
 
-    A band takes its items out of the lists before they are exploded, and full groups leave
-    as nested rows, so that most items are never shuffled. Items are read as in run_items.
+    The lists are cut to their own n best distinct items where they are read.
     """
-    usable = F.filter("ranked", lambda x: x["doc_id"].isNotNull() & x["score"].isNotNull() & ~F.isnan(x["score"]))
-    rows = runs.select(*keys, usable.alias("ranked")).filter(F.size("ranked") > 0)
-    scores = rows.select(scale, F.explode("ranked").alias("_i")).select(scale, F.col("_i.score").alias("s"))
-    banded = _with_borders(rows, _borders(scores, [scale], quantiles), scale)
-
-    def band_rows(band: int, full: DataFrame | None) -> DataFrame:
-        some = banded.withColumn("ranked", F.filter("ranked", lambda x: _inside(x["score"], band, len(quantiles)))).filter(F.size("ranked") > 0)
-        return _without(some, full, keys).select(*keys, F.explode("ranked").alias("_i")).select(*keys, F.col("_i.doc_id").alias("doc_id"), F.col("_i.score").alias("score"))
-
-    return _worked_off(band_rows, keys, "doc_id", "score", n, len(quantiles) + 1)
+    usable = F.filter("ranked", lambda x: _usable(x["score"], x["doc_id"]))
+    lists = runs.select(*keys, F.array_sort(F.transform(usable, lambda x: F.struct((-x["score"]).alias("minus"), x["doc_id"].alias("doc_id")))).alias("_l"))
+    lists = lists.withColumn("_top", F.slice(F.array_distinct(F.transform("_l", lambda x: x["doc_id"])), 1, n))
+    items = lists.select(*keys, F.explode(F.filter("_l", lambda x: F.array_contains(F.col("_top"), x["doc_id"]))).alias("_i"))
+    return _worked_off(items.select(*keys, F.col("_i.doc_id").alias("doc_id"), (-F.col("_i.minus")).alias("score")), keys, "doc_id", "score", n, scale)
 
 
 def wrong_cuts(runs: DataFrame, predictions: DataFrame, n: int = 5) -> DataFrame:
