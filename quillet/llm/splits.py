@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.session import cut, running_sums
@@ -26,18 +26,25 @@ DEGREE = 1000
 def adjacency(pairs: DataFrame, record: str, entity: str) -> DataFrame:
     """Edges (``u``, ``v``), both ways, of records and the entities that at least two of them name.
 
-    An entity that very many records name becomes a root with parts, of which each has
-    about DEGREE records: paths grow by two steps, and no node has a hot list of neighbours.
+    An entity that very many records name becomes a tree: its records lie under leaves of
+    about DEGREE each, these under nodes of about DEGREE leaves, and so on up to one root.
+    So no node has a hot list of neighbours, and paths grow by two steps a level.
     """
     links = cut(pairs.select(F.col(record).cast("string").alias("r"), F.col(entity).cast("string").alias("e")).dropna().distinct())
     degree = links.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = links.join(degree, "e")
-    part = F.concat(F.lit("p"), F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / DEGREE)).cast("string"), F.lit(" "), F.col("e"))
-    root = F.concat(F.lit("e"), F.col("e"))
-    leaf = F.when(F.col("n") > DEGREE, part).otherwise(root)
-    one = shared.select(F.concat(F.lit("r"), F.col("r")).alias("u"), leaf.alias("v"))
-    two = shared.filter(F.col("n") > DEGREE).select(part.alias("u"), root.alias("v")).distinct()
-    edges = one.unionByName(two)
+    shared = cut(links.join(degree, "e").select("r", "e", "n", F.xxhash64("r").alias("h")))
+    leaf = F.pmod("h", F.ceil(F.col("n") / DEGREE))
+
+    def node(level: int) -> Column:
+        return F.concat(F.lit(f"p{level} "), F.floor(leaf / DEGREE ** (level - 1)).cast("string"), F.lit(" "), F.col("e"))
+
+    edges = shared.select(F.concat(F.lit("r"), F.col("r")).alias("u"), node(1).alias("v"))
+    largest = shared.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    level = 1
+    while largest > DEGREE**level:
+        more = shared.filter(F.col("n") > DEGREE**level).select(node(level).alias("u"), node(level + 1).alias("v")).distinct()
+        edges = edges.unionByName(more)
+        level += 1
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
