@@ -24,6 +24,8 @@ from quillet.session import cut
 MAX_HEAVY = 4096
 #: One document in so many is looked at to find the heavy terms, and of these the share that must hold one.
 SAMPLE, HEAVY_SHARE = 16, 0.02
+#: Keys with several rows that are broadcast; with more they are joined.
+SMALL = 100_000
 #: Distinct light terms that a task sums before it sends them on.
 FLUSH = 200_000
 
@@ -79,6 +81,16 @@ def _count(heavy: list[str]):
 SCHEMA = "kind int, term string, uses bigint, docs bigint"
 
 
+def _once(rows: DataFrame, key: str, column: str, version: str | None) -> DataFrame:
+    """(``key``, ``text``), each key once; only the texts of keys with several rows are shuffled."""
+    order = F.struct(F.col(version), F.col(column)) if version else F.col(column)
+    several = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_several")))
+    known = F.broadcast(several) if several.limit(SMALL + 1).count() <= SMALL else several
+    marked = rows.join(known, F.col(key) == F.col("_several"), "left")
+    best = marked.filter("_several is not null").groupBy(key).agg(F.max_by(F.col(column), order).alias("text"))
+    return marked.filter("_several is null").select(key, F.col(column).alias("text")).unionByName(best)
+
+
 def term_counts(df: DataFrame, key: str, column: str, version: str | None = None) -> tuple[DataFrame, int]:
     """Rows (``term``, ``uses``, ``docs``) and the number of documents that hold a term.
 
@@ -86,12 +98,7 @@ def term_counts(df: DataFrame, key: str, column: str, version: str | None = None
     among equal ones. Null keys, null texts and texts without terms hold none. An empty
     table gives no rows and 0. Whole texts and all documents are counted.
     """
-    order = F.struct(F.col(version), F.col(column)) if version else F.col(column)
-    texts = (
-        df.filter(F.col(key).isNotNull() & F.col(column).isNotNull())
-        .groupBy(key)
-        .agg(F.max_by(F.col(column), order).alias("text"))
-    )
+    texts = _once(df.filter(F.col(key).isNotNull() & F.col(column).isNotNull()), key, column, version)
     sample = texts.filter(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).select("text")
     found = cut(sample.mapInArrow(_count([]), SCHEMA))
     looked = found.filter("kind = 2").agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
