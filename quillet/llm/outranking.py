@@ -68,14 +68,16 @@ def net_flows(
     )
     made = rows.join(flows, ["g", "r", "s"])
     if weights is not None:
-        made = made.join(weights.select(F.col(source).alias("r"), F.col("weight").alias("_w")), "r").withColumn("f", F.col("f") * F.col("_w"))
+        made = made.join(weights.select(F.col(source).alias("r"), F.col("weight").alias("_w")), "r", "left").withColumn("f", F.col("f") * F.coalesce("_w", F.lit(0.0)))
     return made.groupBy("g", "i").agg(F.sum("f").alias("f")).select(
         F.col("g").alias(group), F.col("i").alias(item), F.round("f", 9).alias("flow")
     )
 
 
-def flows_of_arrays(g: np.ndarray, r: np.ndarray, i: np.ndarray, s: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group, item and flow of whole groups given by their codes; the same sums as net_flows, in arrays."""
+def flows_of_arrays(
+    g: np.ndarray, r: np.ndarray, i: np.ndarray, s: np.ndarray, weight: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, item and flow of whole groups given by their codes, with the weight of each source; the same sums as net_flows, in arrays."""
     order = np.lexsort((-s, i, r, g))
     g, r, i, s = g[order], r[order], i[order], s[order]
     first = np.ones(len(g), bool)  # a document's highest score in a source
@@ -124,19 +126,20 @@ def flows_of_arrays(g: np.ndarray, r: np.ndarray, i: np.ndarray, s: np.ndarray,
     gained = flow - zero[seg]
     real = np.ones(len(c), bool)
     real[start] = False
-    total = np.bincount(at, weights=gained[real][block], minlength=pairs.shape[1])
+    total = np.bincount(at, weights=gained[real][block] * weight[r], minlength=pairs.shape[1])
     return pairs[0], pairs[1], np.round(total, 9)
 
 
-def _whole_groups(threshold: float, kind: pa.DataType, id_kind: pa.DataType):
+def _whole_groups(threshold: float, weights: dict | None, kind: pa.DataType, id_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pd.DataFrame] = []
 
         def made(frame: pd.DataFrame) -> pa.RecordBatch:
             g, groups = pd.factorize(frame["g"], use_na_sentinel=False)
-            r, _ = pd.factorize(frame["r"], use_na_sentinel=False)
+            r, sources = pd.factorize(frame["r"], use_na_sentinel=False)
             i, items = pd.factorize(frame["i"])
-            a, b, flow = flows_of_arrays(g, r, i, frame["s"].to_numpy(), threshold)
+            weight = np.array([1.0 if weights is None else weights.get(x, 0.0) for x in sources])
+            a, b, flow = flows_of_arrays(g, r, i, frame["s"].to_numpy(), weight, threshold)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.asarray(groups, dtype=object)[a], kind, from_pandas=True), pa.array(np.asarray(items, dtype=object)[b], id_kind), pa.array(flow)], names=["g", "i", "f"]
             )
@@ -167,12 +170,15 @@ def _whole_groups(threshold: float, kind: pa.DataType, id_kind: pa.DataType):
     return run
 
 
-def run_flows(runs: DataFrame, group: str = "qid", source: str = "run_id", threshold: float = 0.5) -> DataFrame:
+def run_flows(
+    runs: DataFrame, group: str = "qid", source: str = "run_id", threshold: float = 0.5, weights: dict | None = None
+) -> DataFrame:
     """net_flows of nested rankings (``group``, ``source``, ``ranked`` of (doc_id, score)): (``group``, ``doc_id``, ``flow``).
 
     Rows of ordinary groups are shuffled once, as nested as they are, and whole groups are
-    worked off in arrays. Groups of more than LARGE items go through net_flows, which spreads
-    each over many tasks; the results are the same. Null items, null ids and null or NaN
+    worked off in arrays. Groups of more than LARGE items, which no one task may hold, go
+    through net_flows, which spreads each over many tasks; the results are the same. Each
+    source counts the same, or by ``weights``; one that these do not name counts nothing. Null items, null ids and null or NaN
     scores do not exist; slices are read together with a document's highest score; null
     groups and sources are left out; an empty table gives no rows.
     """
@@ -183,7 +189,7 @@ def run_flows(runs: DataFrame, group: str = "qid", source: str = "run_id", thres
     large = cut(large)  # as many rows as LARGE goes into the items, at most
     kind, id_kind = rows.schema["g"].dataType, rows.schema["ranked"].dataType.elementType["doc_id"].dataType
     schema = f"g {kind.simpleString()}, i {id_kind.simpleString()}, f double"
-    run = _whole_groups(threshold, to_arrow_type(kind), to_arrow_type(id_kind))
+    run = _whole_groups(threshold, weights, to_arrow_type(kind), to_arrow_type(id_kind))
 
     def whole(some: DataFrame) -> DataFrame:
         made = some.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
@@ -192,7 +198,10 @@ def run_flows(runs: DataFrame, group: str = "qid", source: str = "run_id", thres
     if large.isEmpty():
         return whole(rows)
     items = run_items(rows.join(large, "g", "left_semi"), ["g", "r"])
-    spread = net_flows(items, "g", "r", "doc_id", "score", threshold)
+    counted = None
+    if weights is not None:
+        counted = runs.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], f"r {rows.schema['r'].dataType.simpleString()}, weight double")
+    spread = net_flows(items, "g", "r", "doc_id", "score", threshold, counted)
     return whole(rows.join(large, "g", "left_anti")).unionByName(spread.withColumnRenamed("g", group))
 
 
