@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from quillet.llm.textform import LOOK_ALIKES, PLAIN_SIGNS
 
 #: Labelled documents that models are trained on, at most (chosen by the hash of the key).
 MAX_LABELLED = 4000
+#: Bytes of their texts, at most; a text that would exceed them is left out of the training.
+MAX_BYTES = 64 << 20
 #: Weights of the subject's bigram, the subject's unigram and the background model.
 INTERPOLATION = (0.55, 0.25, 0.20)
 #: Share of the greatest gain of a word, the logarithm of the number of subjects, that a provision needs to have one.
@@ -84,10 +87,18 @@ class Models:
     keys: np.ndarray
     bigram_gain: np.ndarray
     unigram_gain: np.ndarray
+    usual: float = 16.0
     share: float = 0.25
 
-    def gains(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per provision the gains of all subjects; for each text its number of provisions."""
+    def gains(self, texts: Iterable[str], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Per provision the gains of all subjects; for each text its number of provisions.
+
+        A gain is the background's cross-entropy per token less the subject's, in nats, times
+        twice the usual number of tokens of a provision. A provision's tokens are taken with
+        the usual number of background tokens, which gain nothing, so that neither the
+        length of a long one nor the chance of a short one decides. With ``whole`` it is the
+        difference of the provision's log-likelihoods, by which training weighs its evidence.
+        """
         get, v = self.words.get, len(self.words)
         ids: list[int] = []
         ends: list[int] = []
@@ -113,6 +124,9 @@ class Models:
             column = np.where(known, self.bigram_gain[at, k], self.unigram_gain[token, k])
             column[starts] = 0
             out[:, k] = np.add.reduceat(column, starts)
+        if not whole:
+            # Per token, over the provision's own and as many of the background as are usual; few tokens tell little.
+            out *= (2 * self.usual / (np.array(ends) - starts - 1 + self.usual))[:, None]
         return out, np.array(counts, dtype=np.int64)
 
 
@@ -165,9 +179,10 @@ def _estimate(subjects: list[str], weighted: list[tuple[list[str], np.ndarray]])
     alone = np.log(((l2 + l1) * alone + l0 * p1[:, None]) / p1[:, None])
     keys = first * (v + 1) + second
     order = np.argsort(keys)
+    usual = sum(len(w) for w, _ in weighted) / max(len(weighted), 1)
     return Models(
         subjects, words, keys[order], gain[order].astype(np.float32),
-        np.vstack([alone, np.zeros((1, n))]).astype(np.float32),
+        np.vstack([alone, np.zeros((1, n))]).astype(np.float32), usual,
     )
 
 
@@ -194,7 +209,7 @@ def train(labelled: list[tuple[str, list[str]]], steps: int = 3) -> Models:
     flat = [w for p in parts for w in p]
     models = _estimate(subjects, [(w, own[d]) for d, p in enumerate(parts) for w in p])
     for _ in range(steps if subjects else 0):
-        gains, counts = models.gains(texts)
+        gains, counts = models.gains(texts, whole=True)
         favour = np.log(np.repeat(own, counts, axis=0) * 0.9 + 0.1 / len(subjects))
         score = np.hstack([gains + favour, np.full((len(gains), 1), least_gain(len(subjects)) - 2.0)]).astype(np.float64)
         score = np.exp(score - score.max(1, keepdims=True))
@@ -248,7 +263,8 @@ def document_subjects(
 
     ``labels`` has hand labels (``key``, ``subject``); letter case is levelled, nulls and
     repeats are left out. At most ``max_labelled`` labelled documents, the first by the hash
-    of their key, train the models; all documents are classified, with their whole texts.
+    of their key, of MAX_BYTES together, train the models; all documents are classified,
+    with their whole texts.
     A null or blank text gives no row, every other text at least one. Without any usable
     label the result is empty. Other columns are left out, so none can clash.
     """
@@ -262,7 +278,15 @@ def document_subjects(
         .limit(max_labelled)
     )
     texts = df.select(key, F.col(column).alias("_text")).filter("_text is not null and _text <> ''")
-    sample = texts.join(clean, key).select("_text", "_subjects", key).collect()  # at most max_labelled rows
+    # At most max_labelled rows; their sizes come first, then the texts that fit.
+    sizes = texts.join(clean, key).select(key, F.octet_length("_text").alias("_n")).collect()
+    fitting, room = [], MAX_BYTES
+    for k, n in sorted(((r[0], r[1]) for r in sizes), key=lambda x: (xxhash.xxh3_64_intdigest(str(x[0])), x[1])):
+        if n <= room:
+            fitting.append((k, n))
+            room -= n
+    kept = spark.createDataFrame(fitting, f"`{key}` {df.schema[key].dataType.simpleString()}, _n int")
+    sample = texts.withColumn("_n", F.octet_length("_text")).join(F.broadcast(kept.distinct()), [key, "_n"]).join(clean, key).select("_text", "_subjects", key).collect()
     sample.sort(key=lambda r: str(r[2]))
     models = train([(r[0], list(r[1])) for r in sample if r[0].strip()])
     shared = spark.sparkContext.broadcast(models)
