@@ -241,7 +241,7 @@ def dense_topk(spark, d):
 
 # --- fusion and reranking
 
-_FOUR = tuple(f"run_{k}" for k in v.KINDS)
+_FOUR = tuple(f"all_{k}" for k in v.KINDS)
 _PLACED = "SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM {} QUALIFY rank <= 100"
 
 
@@ -261,7 +261,7 @@ _WEIGHTS = (0.4, 0.3, 0.2, 0.1)
 
 
 def _weighted_sql(method: str, missing: float = 0.0) -> str:
-    scaled = " UNION ALL ".join(f"SELECT qid, doc_id, {w}::DOUBLE AS w, CAST({_SCALES[method]} AS DOUBLE) AS s FROM {r} WINDOW w AS (PARTITION BY qid)" for r, w in zip(_FOUR, _WEIGHTS))
+    scaled = " UNION ALL ".join(f"SELECT qid, doc_id, {w}::DOUBLE AS w, CAST({_SCALES[method]} AS DOUBLE) AS s FROM {r} WINDOW w AS (PARTITION BY run_id, qid)" for r, w in zip(_FOUR, _WEIGHTS))
     return with_sql(*_FOUR, scaled=scaled, s=f"SELECT qid, doc_id, round(sum(w * s) + {missing} * (1.0 - sum(w)), 9) + 0.0::DOUBLE AS score FROM scaled GROUP BY ALL") + _PLACED.format("s")
 
 
@@ -297,14 +297,24 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RERANK = {
-    "head": "SELECT b.qid, b.doc_id, coalesce(c.score, 0.0::DOUBLE) AS score FROM run_bm25 b LEFT JOIN run_cross c USING (qid, doc_id) WHERE b.rank <= 10",
+    "head": "SELECT b.qid, b.doc_id, coalesce(c.score, 0.0::DOUBLE) AS score FROM run_bm25 b LEFT JOIN run_cross c USING (qid, doc_id) WHERE b.rank <= 50",
     "floors": "SELECT qid, min(score) AS low FROM head GROUP BY qid",
-    "merged": "SELECT qid, doc_id, round(score, 7) AS score FROM head UNION ALL SELECT qid, doc_id, round(coalesce(low, 0.0::DOUBLE) - (rank - 10) * 1e-6::DOUBLE, 7) FROM run_bm25 LEFT JOIN floors USING (qid) WHERE rank > 10",
+    "merged": "SELECT qid, doc_id, round(score, 7) AS score FROM head UNION ALL SELECT qid, doc_id, round(coalesce(low, 0.0::DOUBLE) - (rank - 50) * 1e-6::DOUBLE, 7) FROM run_bm25 LEFT JOIN floors USING (qid) WHERE rank > 50",
     "again": "SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM merged",
 }
+_RERANK_ALL = {
+    "scorers": "SELECT DISTINCT run_id AS scorer_id, qid FROM all_cross",
+    "paired": "SELECT b.*, coalesce(scorer_id, '') AS scorer_id FROM all_bm25 b LEFT JOIN scorers USING (qid)",
+    "head": "SELECT p.run_id, p.scorer_id, p.qid, p.doc_id, coalesce(c.score, 0.0::DOUBLE) AS score FROM paired p LEFT JOIN all_cross c ON c.run_id = p.scorer_id AND c.qid = p.qid AND c.doc_id = p.doc_id WHERE p.rank <= 50",
+    "floors": "SELECT run_id, scorer_id, qid, min(score) AS low FROM head GROUP BY ALL",
+    "merged": "SELECT run_id, scorer_id, qid, doc_id, round(score, 7) AS score FROM head UNION ALL SELECT run_id, scorer_id, qid, doc_id, round(coalesce(low, 0.0::DOUBLE) - (rank - 50) * 1e-6::DOUBLE, 7) FROM paired LEFT JOIN floors USING (run_id, scorer_id, qid) WHERE rank > 50",
+}
 
 
-@query(with_sql("run_bm25", "run_cross", **_RERANK) + "SELECT * FROM again")
+@query(
+    with_sql("all_bm25", "all_cross", **_RERANK_ALL)
+    + "SELECT run_id, scorer_id, qid, doc_id, score, CAST(row_number() OVER (PARTITION BY run_id, scorer_id, qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM merged"
+)
 def rerank_merge(spark, d):
     """Every bm25 ranking by every cross run of its question; ``scorer_id`` is empty where there is none."""
     scores = v.all_runs(spark, d, "cross").select(F.col("run_id").alias("scorer_id"), "qid", "doc_id", F.col("score").alias("new"))
@@ -374,12 +384,13 @@ for _k in v.KINDS:
 
 
 @query(
-    with_sql("dev", "pred_bm25")
-    + """SELECT 'missing' AS problem, qid FROM dev WHERE qid NOT IN (SELECT qid FROM pred_bm25)
-UNION ALL SELECT 'over_cap', qid FROM pred_bm25 WHERE len(predicted) > 5
-UNION ALL SELECT 'duplicates', qid FROM pred_bm25 WHERE len(list_distinct(predicted)) + list_aggregate(list_transform(predicted, lambda x: CASE WHEN x IS NULL THEN 1 ELSE 0 END), 'max') < len(predicted)
-UNION ALL SELECT 'empty', qid FROM pred_bm25 WHERE coalesce(len(predicted), 0) = 0
-UNION ALL SELECT 'null_ids', qid FROM pred_bm25 WHERE len(list_filter(predicted, lambda x: x IS NULL)) > 0"""
+    with_sql("dev", "all_pred")
+    + """SELECT run_id, 'missing' AS problem, qid FROM (SELECT DISTINCT run_id FROM all_pred), (SELECT DISTINCT qid FROM dev) WHERE (run_id, qid) NOT IN (SELECT (run_id, qid) FROM all_pred)
+UNION ALL SELECT run_id, 'extra', qid FROM all_pred WHERE qid NOT IN (SELECT qid FROM dev)
+UNION ALL SELECT run_id, 'over_cap', qid FROM all_pred WHERE len(predicted) > 5
+UNION ALL SELECT run_id, 'duplicates', qid FROM all_pred WHERE len(list_distinct(predicted)) + list_aggregate(list_transform(predicted, lambda x: CASE WHEN x IS NULL THEN 1 ELSE 0 END), 'max') < len(predicted)
+UNION ALL SELECT run_id, 'empty', qid FROM all_pred WHERE coalesce(len(predicted), 0) = 0
+UNION ALL SELECT run_id, 'null_ids', qid FROM all_pred WHERE len(list_filter(predicted, lambda x: x IS NULL)) > 0"""
 )
 def submission_checks(spark, d):
     """Every run is a submission of its own."""
@@ -388,6 +399,7 @@ def submission_checks(spark, d):
 
 # --- cutoffs
 
+_ALL_LISTS = "SELECT run_id, qid, list(doc_id ORDER BY rank) AS d, list(score ORDER BY rank) AS s FROM all_runs GROUP BY run_id, qid"
 _LISTS = "SELECT qid, list(doc_id ORDER BY rank) AS d, list(score ORDER BY rank) AS s FROM run_bm25 GROUP BY qid"
 _KEEP = {
     "top_k": "3",
@@ -400,7 +412,7 @@ _VALUES = {"top_k": 3, "ratio": 0.85, "threshold": 20.0, "gap": None}
 
 for _rule in _KEEP:
 
-    @query(with_sql("run_bm25", lists=_LISTS) + f"SELECT qid, d[1:greatest(1, least({_KEEP[_rule]}, 5, len(d)))] AS predicted FROM lists", f"cutoff_{_rule}")
+    @query(with_sql("all_runs", lists=_ALL_LISTS) + f"SELECT run_id, qid, d[1:greatest(1, least({_KEEP[_rule]}, 5, len(d)))] AS predicted FROM lists", f"cutoff_{_rule}")
     def _cutoff(spark, d, rule=_rule):
         return cutoff.apply_cutoff(v.all_runs(spark, d), rule, _VALUES[rule], keys=("run_id", "qid"))
 
@@ -613,7 +625,7 @@ def ceiling_table(spark, d):
 @query(
     with_sql(
         "gold", "run_bm25", "run_cross", **_RERANK, gs="SELECT qid, count(*) AS g FROM gold GROUP BY qid",
-        c="SELECT sum(h::DOUBLE / g) AS c FROM (SELECT qid, count(*) FILTER (WHERE rank <= 10) AS h FROM run_bm25 JOIN gold USING (qid, doc_id) GROUP BY qid) JOIN gs USING (qid)",
+        c="SELECT sum(h::DOUBLE / g) AS c FROM (SELECT qid, count(*) FILTER (WHERE rank <= 50) AS h FROM run_bm25 JOIN gold USING (qid, doc_id) GROUP BY qid) JOIN gs USING (qid)",
         a="SELECT sum(h::DOUBLE / g) AS a FROM (SELECT qid, count(*) FILTER (WHERE rank <= 5) AS h FROM again JOIN gold USING (qid, doc_id) GROUP BY qid) JOIN gs USING (qid)",
         r=f"SELECT {R6(f'c / {_N}')} AS ceiling, {R6(f'a / {_N}')} AS achieved FROM c, a",
     )
@@ -680,8 +692,11 @@ def eval_qa(spark, d):
 # --- data sets
 
 _STRATA = {"sized": "SELECT qid, least(count(doc_id), 5) AS stratum FROM train LEFT JOIN train_gold USING (qid) GROUP BY qid"}
+_BLANK = f"SELECT doc_id FROM corpus GROUP BY doc_id HAVING max(CASE WHEN regexp_replace(coalesce(text, ''), '{tx._SPACE}+', '', 'g') <> '' THEN 1 ELSE 0 END) = 0"
 _SPLIT = {
-    **_STRATA,
+    # Questions whose gold is all in the corpus and blank leave before the strata are sized.
+    "quarantine": f"SELECT qid FROM train_gold GROUP BY qid HAVING count(*) = count(*) FILTER (WHERE doc_id IN ({_BLANK}))",
+    "sized": "SELECT qid, least(count(doc_id), 5) AS stratum FROM train LEFT JOIN train_gold USING (qid) WHERE qid NOT IN (SELECT qid FROM quarantine) GROUP BY qid",
     "p": "SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || qid), qid) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM sized",
     "sp": "SELECT qid, stratum, CASE WHEN r <= CASE WHEN n > 1 THEN greatest(1, round_even(n * 0.15, 0)) ELSE 0 END THEN 'dev' ELSE 'train' END AS split FROM p",
 }
@@ -695,13 +710,13 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     return dataset.stratified_split(rows.select("qid", F.least(F.coalesce("g", F.lit(0)), F.lit(5)).alias("stratum")), "qid", "stratum")
 
 
-@query(with_sql("train", "train_gold", **_SPLIT) + "SELECT qid, stratum, split FROM sp")
+@query(with_sql("train", "train_gold", "corpus", **_SPLIT) + "SELECT qid, stratum, split FROM sp")
 def dev_split(spark, d):
     return _split(spark, d)
 
 
 @query(
-    with_sql("train", "train_gold", **_SPLIT)
+    with_sql("train", "train_gold", "corpus", **_SPLIT)
     + f"SELECT stratum, count(*) AS n_all, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'dev') AS n_dev, {R6('''100 * avg(CASE WHEN split = 'dev' THEN 1 ELSE 0 END)''')} AS dev_percent FROM sp GROUP BY stratum"
 )
 def dev_split_report(spark, d):
@@ -775,7 +790,7 @@ def extractive_answers(spark, d):
 @query(
     with_sql(
         "corpus", "dev", "run_bm25", ctx=_CTX,
-        num="SELECT qid, array_to_string(list_transform(range(1, len(passages) + 1), lambda i: '[' || i || '] (' || context_ids[i] || ') ' || CASE WHEN length(passages[i]) > 400 THEN substr(passages[i], 1, 400) || ' …' ELSE passages[i] END), chr(10) || chr(10)) AS c FROM ctx",
+        num="SELECT qid, array_to_string(list_transform(range(1, len(passages) + 1), lambda i: '[' || i || '] (' || context_ids[i] || ') ' || CASE WHEN length(passages[i]) > 1500 THEN substr(passages[i], 1, 1500) || ' …' ELSE passages[i] END), chr(10) || chr(10)) AS c FROM ctx",
     )
     + "SELECT qid, 'Các đoạn văn bản pháp luật:' || chr(10) || c || chr(10) || chr(10) || 'Câu hỏi: ' || coalesce(text, '') || chr(10) || 'Trả lời:' AS prompt FROM num JOIN dev USING (qid)"
 )
@@ -822,13 +837,13 @@ def log_correlation(spark, d):
     return runs.correlation(spark.createDataFrame(_LOG, "run_id string, dev_official string, leaderboard string"))
 
 
-@query(with_sql("run_bm25") + "SELECT qid, list(doc_id ORDER BY rank) AS ids FROM run_bm25 GROUP BY qid")
+@query(with_sql("all_runs") + "SELECT run_id, qid, list(doc_id ORDER BY rank) AS ids FROM all_runs GROUP BY run_id, qid")
 def nest_run(spark, d):
     nested = rankings.nest_run(v.all_runs(spark, d), ["run_id", "qid"])
     return nested.select("run_id", "qid", F.transform("ranked", lambda x: x["doc_id"]).alias("ids"))
 
 
-@query(with_sql("pred_bm25") + "SELECT qid, unnest(predicted) AS doc_id, CAST(generate_subscripts(predicted, 1) AS INTEGER) AS pos FROM pred_bm25")
+@query(with_sql("all_pred") + "SELECT run_id, qid, unnest(predicted) AS doc_id, CAST(generate_subscripts(predicted, 1) AS INTEGER) AS pos FROM all_pred")
 def unnest_predictions(spark, d):
     return rankings.unnest_predictions(v.all_predictions(spark, d), ["run_id", "qid"])
 

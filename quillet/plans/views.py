@@ -80,6 +80,16 @@ def _predictions_sql(kind: str) -> str:
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY saved_at DESC NULLS LAST, predicted DESC NULLS LAST) = 1)"""
 
 
+def _all_runs_sql(kind: str = "") -> str:
+    return f"""(SELECT run_id, qid, doc_id, score, CAST(row_number() OVER (PARTITION BY run_id, qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM (SELECT run_id, qid, i.doc_id AS doc_id, max(i.score) AS score FROM (SELECT run_id, qid, unnest(ranked) AS i FROM runs WHERE starts_with(run_id, '{kind}'))
+      WHERE i.doc_id IS NOT NULL AND i.score IS NOT NULL AND NOT isnan(i.score) GROUP BY ALL))"""
+
+
+ALL_PREDICTIONS_SQL = """(SELECT run_id, qid, predicted FROM predictions
+    QUALIFY row_number() OVER (PARTITION BY run_id, qid ORDER BY saved_at DESC NULLS LAST, predicted DESC NULLS LAST) = 1)"""
+
+
 def _bm25_sql(docs: str, k1: float = 1.2, b: float = 0.75) -> dict[str, str]:
     return {
         "toks": f"(SELECT doc_id, {tokens_sql(normalize_sql('text'))} AS t FROM {docs})",
@@ -110,6 +120,9 @@ def with_sql(*names: str, **more: str) -> str:
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST, answer DESC NULLS LAST) = 1)""",
         **{f"run_{k}": _run_sql(k) for k in KINDS},
         **{f"pred_{k}": _predictions_sql(k) for k in KINDS},
+        "all_runs": _all_runs_sql(),
+        **{f"all_{k}": _all_runs_sql(k) for k in KINDS},
+        "all_pred": ALL_PREDICTIONS_SQL,
     }
     needs = {"docs": ["corpus"], "arts": ["corpus"], "gold": ["dev"], "train_gold": ["train"]}
     done: dict[str, str] = {}
