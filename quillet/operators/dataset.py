@@ -5,26 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillet.session import running_sums
+
 
 def percentiles(df: DataFrame, value: str, at: dict[str, float], aggregates: list[Column]) -> DataFrame:
     """One row of ``aggregates`` and order statistics: the item min(int(p·n), n - 1), from 0, of the sorted values.
 
-    Values are counted first, so what is sorted are distinct values, not rows.
+    Values are counted first and the counts summed up over range partitions, so neither the
+    rows nor the distinct values meet in one task.
     """
     rows = df.filter(F.col(value).isNotNull())
-    counts = rows.groupBy(value).agg(F.count("*").alias("_c"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_c").alias("c"))))
-    line = counts.agg(pairs.alias("_l"), F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
-
-    def pick(p: float) -> Column:
-        place = F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1)
-        walk = F.aggregate(
-            "_l", F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast(df.schema[value].dataType).alias("v")),
-            lambda a, x: F.struct((a["s"] + x["c"]).alias("s"), F.when(a["v"].isNull() & (a["s"] + x["c"] > place), x["v"]).otherwise(a["v"]).alias("v")),
-        )
-        return walk["v"]
-
-    picked = line.select(*(pick(p).alias(n) for n, p in at.items()))
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    line = running_sums(counts, [], [F.col("_v").asc()], {"_upto": "_c"})
+    total = rows.agg(F.count("*").alias("_n"))
+    place = lambda p: F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1)
+    picked = line.crossJoin(F.broadcast(total)).agg(*(F.min(F.when(F.col("_upto") > place(p), F.col("_v"))).alias(n) for n, p in at.items()))  # total is one row
     return rows.agg(*aggregates).crossJoin(F.broadcast(picked))  # one row each
 
 
@@ -48,14 +43,17 @@ def stratified_split(df: DataFrame, key: str, stratum: str, fraction: float = 0.
     """(``key``, ``stratum``, ``split``): of each stratum max(1, round(n · fraction)) to dev, none of a single one.
 
     Rounds half to even. The order within a stratum is that of the digests of seed and key,
-    so the split depends on neither partitions nor other strata.
+    so the split depends on neither partitions nor other strata. Rows are numbered over
+    range partitions: a stratum of nearly all rows is spread like any other. A null stratum
+    is one of its own.
     """
-    rows = df.select(key, stratum).distinct()
+    rows = df.select(key, stratum).distinct().withColumn("_one", F.lit(1))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
     n = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("int"))).otherwise(0)
-    placed = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
-    return placed.join(sizes, stratum).select(key, stratum, F.when(F.col("_r") <= n, "dev").otherwise("train").alias("split"))
+    placed = running_sums(rows, [stratum], [order.asc(), F.col(key).asc()], {"_r": "_one"})
+    sizes = F.broadcast(sizes.withColumnRenamed(stratum, "_s")) if sizes.limit(10_001).count() <= 10_000 else sizes.withColumnRenamed(stratum, "_s")
+    return placed.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).select(key, stratum, F.when(F.col("_r") <= n, "dev").otherwise("train").alias("split"))
 
 
 def split_report(split: DataFrame, stratum: str) -> DataFrame:

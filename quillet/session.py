@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,16 +31,19 @@ def session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkS
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a checkpoint in the shared folder.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``. Only
-    where that is unset, as in tests, a folder of this machine is taken.
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Where that is
+    unset, a folder of this machine is taken if the master is local, as in tests; a cluster
+    must name one that all its machines share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="quillet-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="quillet-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -88,11 +93,18 @@ def running_sums(
     )
     crossing = totals.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1") if keys else None
     over = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.join(crossing, keys, "left_semi") if keys else totals).select(
+    if keys:
+        several = crossing.select(*(F.col(k).alias(f"_s_{k}") for k in keys))
+        totals = totals.join(several, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]), "left_semi")
+    offsets = totals.select(
         "_part", *keys, *(F.sum(f"_t_{new}").over(over).alias(f"_o_{new}") for new in sums)
     )
-    # At most two rows per partition: the first and the last group of it can cross.
-    rows = placed.join(F.broadcast(offsets), ["_part", *keys], "left")
+    # At most two rows per partition: the first and the last group of it can cross. Null keys are a group.
+    offsets = offsets.select(F.col("_part").alias("_b_part"), *(F.col(k).alias(f"_b_{k}") for k in keys), *(f"_o_{new}" for new in sums))
+    same = F.col("_part") == F.col("_b_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    rows = placed.join(F.broadcast(offsets), same, "left")
     inside = (
         Window.partitionBy("_part", *keys)
         .orderBy(*order)
