@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +66,23 @@ def split_report(split: DataFrame, stratum: str) -> DataFrame:
 
 
 def hard_negatives(
-    run: DataFrame, gold: DataFrame, corpus: DataFrame, n: int = 8, skip_top: int = 2, depth: int = 50, margin: float | None = None
+    run: DataFrame, gold: DataFrame, corpus: DataFrame, n: int = 8, skip_top: int = 2, depth: int = 50, margin: float | None = None, choose: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """(``qid``, ``positive_id``, ``negative_ids``): for each gold document in the corpus the first n mistakes of the run.
 
     Candidates rank in (skip_top, depth], are not gold and, with ``margin``, score at most
-    the best gold score within the depth less the margin.
+    the best gold score within the depth less the margin. ``choose`` may order or thin the
+    candidates: a function of their array of (rank, doc_id, score), by rank, at most
+    ``depth`` long, whose first n are taken.
     """
     window = run.filter(F.col("rank") <= depth).join(gold.withColumn("_gold", F.lit(1)), ["qid", "doc_id"], "left")
     window = window.withColumn("_top", F.max(F.when(F.col("_gold") == 1, F.col("score"))).over(Window.partitionBy("qid")))
     keep = F.col("_gold").isNull() & (F.col("rank") > skip_top)
     if margin is not None:
         keep &= F.col("_top").isNull() | (F.col("score") <= F.col("_top") - margin)
-    chosen = window.filter(keep).groupBy("qid").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]), 1, n).alias("negative_ids"))
+    items = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score")))
+    picked = window.filter(keep).groupBy("qid").agg(items.alias("_l"))
+    chosen = picked.select("qid", F.slice(F.transform(choose(F.col("_l")) if choose else F.col("_l"), lambda x: x["doc_id"]), 1, n).alias("negative_ids"))
     known = gold.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi")
     return known.select("qid", F.col("doc_id").alias("positive_id")).join(chosen, "qid")
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from quillet.sources.rankings import ranked
 
 
+def _rounded(score: Column, digits: int | None) -> Column:
+    """Scores as they are, or rounded before they are compared, for those who want near scores to tie."""
+    return score if digits is None else F.round(score, digits)
+
+
 def _stacked(runs: list[DataFrame], weights: list[float] | None) -> DataFrame:
     weights = [1.0] * len(runs) if weights is None else list(weights)
     if len(weights) != len(runs):
@@ -24,9 +29,9 @@ def _stacked(runs: list[DataFrame], weights: list[float] | None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def rrf(runs: list[DataFrame], weights: list[float] | None = None, K: int = 60, top_k: int = 100) -> DataFrame:
+def rrf(runs: list[DataFrame], weights: list[float] | None = None, K: int = 60, top_k: int = 100, digits: int | None = None) -> DataFrame:
     """Reciprocal rank fusion: the sum of w / (K + rank) by stored rank, over every list of the question."""
-    fused = _stacked(runs, weights).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") / (K + F.col("rank"))), 9).alias("score"))
+    fused = _stacked(runs, weights).groupBy("qid", "doc_id").agg(_rounded(F.sum(F.col("w") / (K + F.col("rank"))), digits).alias("score"))
     return ranked(fused, ["qid"], top_k)
 
 
@@ -47,7 +52,7 @@ def normalized(score: str, by: list[str], method: str) -> Column:
 
 
 def weighted(
-    runs: list[DataFrame], weights: list[float], method: str = "minmax", top_k: int = 100, missing: float = 0.0
+    runs: list[DataFrame], weights: list[float], method: str = "minmax", top_k: int = 100, missing: float = 0.0, digits: int | None = None
 ) -> DataFrame:
     """Weighted sum of normalised scores; a run that lacks a document adds ``missing`` by its weight.
 
@@ -60,10 +65,10 @@ def weighted(
         lists = scaled.select("qid", "run", "list", "w").distinct().groupBy("qid", "run").agg((F.sum("w") - F.max("w")).alias("more"))
         held = held.join(lists.groupBy("qid").agg(F.sum("more").alias("more")), "qid")
         fill = missing * (sum(weights) + F.col("more") - F.col("held"))
-    return ranked(held.select("qid", "doc_id", F.round(F.col("s") + fill, 9).alias("score")), ["qid"], top_k)
+    return ranked(held.select("qid", "doc_id", _rounded(F.col("s") + fill, digits).alias("score")), ["qid"], top_k)
 
 
-def sweep_weights(one: DataFrame, other: DataFrame, grid: list[float], top_k: int = 100, method: str = "minmax") -> DataFrame:
+def sweep_weights(one: DataFrame, other: DataFrame, grid: list[float], top_k: int = 100, method: str = "minmax", digits: int | None = None) -> DataFrame:
     """All fusions w · one + (1 - w) · other in one job: (``w``, ``qid``, ``doc_id``, ``score``, ``rank``)."""
     scaled = _stacked([one, other], None).withColumn("s", normalized("score", ["run", "qid"], method))
     both = scaled.groupBy("qid", "doc_id").agg(
@@ -71,7 +76,7 @@ def sweep_weights(one: DataFrame, other: DataFrame, grid: list[float], top_k: in
         F.sum(F.when(F.col("run") == 1, F.col("s")).otherwise(0.0)).alias("b"),
     )
     cells = both.select("*", F.explode(F.array(*(F.lit(float(w)) for w in grid))).alias("w"))
-    fused = cells.select("w", "qid", "doc_id", F.round(F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b"), 9).alias("score"))
+    fused = cells.select("w", "qid", "doc_id", _rounded(F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b"), digits).alias("score"))
     return ranked(fused, ["w", "qid"], top_k)
 
 
@@ -96,6 +101,23 @@ def ceiling_table(recalls: DataFrame) -> DataFrame:
     return recalls.withColumn("gain", F.round(F.col("recall") - F.lag("recall", 1, 0.0).over(Window.orderBy("k")), 6))
 
 
+def ceiling_gaps(base: DataFrame, reranked: DataFrame) -> DataFrame:
+    """Reranked runs against what they could reach: (``run``, ``depth``, ``ceiling``, ``achieved``, ``gap``, ``percent``).
+
+    ``base`` has (``k``, ``recall``) of the run that was reranked, ``reranked`` (``run``,
+    ``recall``); the depth of a run stands at the end of its name, as in ``-d50``, and is the
+    largest k of the base where it does not.
+    """
+    most = base.agg(F.max("k").alias("_most"))
+    named = F.try_to_number(F.nullif(F.regexp_extract("run", r"-d(\d+)$", 1), F.lit("")), F.lit("999999999")).cast("int")
+    rows = reranked.crossJoin(F.broadcast(most)).select("run", F.coalesce(named, "_most").alias("depth"), F.col("recall").alias("achieved"))  # one row
+    made = rows.join(base.select(F.col("k").alias("depth"), F.col("recall").alias("ceiling")), "depth", "left")
+    return made.select(
+        "run", "depth", "ceiling", "achieved", F.round(F.col("ceiling") - F.col("achieved"), 6).alias("gap"),
+        F.round(100 * F.try_divide("achieved", "ceiling"), 4).alias("percent"),
+    )
+
+
 def ceiling_verdict(ceiling: Column, achieved: Column) -> Column:
     """Which stage to work on, by the recall that a reranker could reach and does reach."""
     return (

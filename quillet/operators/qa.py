@@ -17,7 +17,6 @@ PROMPTS = {
     "grounded": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Không sử dụng kiến thức bên ngoài. Nếu các đoạn văn bản không chứa câu trả lời, hãy trả lời \"Không tìm thấy thông tin\".\nTrả lời:",
     "cited": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Nêu rõ điều khoản làm căn cứ.\nTrả lời (kèm căn cứ):",
     "mimic": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Trả lời theo đúng cấu trúc sau:\nBắt đầu bằng \"Theo <điều, khoản, tên văn bản> quy định:\", sau đó liệt kê đầy đủ các nội dung liên quan dưới dạng gạch đầu dòng, giữ nguyên cách diễn đạt của văn bản gốc.\nTrả lời:",
-    "yours": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\nTrả lời:",
     "concise": "Các đoạn văn bản pháp luật:\n{context}\n\nCâu hỏi: {question}\n\nChỉ sử dụng thông tin trong các đoạn văn bản trên. Trả lời ngắn gọn, không giải thích thêm.\nTrả lời:",
 }
 
@@ -44,11 +43,12 @@ def format_context(ids: Column, passages: Column, max_chars: int = 1500) -> Colu
     return F.array_join(numbered, "\n\n")
 
 
-def prompts(questions: DataFrame, made: DataFrame, variant: str = "grounded", max_chars: int = 1500) -> DataFrame:
-    """(``qid``, ``prompt``) of questions (``qid``, ``text``) with their contexts."""
-    if variant not in PROMPTS:
+def prompts(questions: DataFrame, made: DataFrame, variant: str = "grounded", max_chars: int = 1500, wording: str | None = None) -> DataFrame:
+    """(``qid``, ``prompt``) of questions (``qid``, ``text``) with their contexts, by a variant or by one's own ``wording``
+    with {context} before {question}."""
+    if wording is None and variant not in PROMPTS:
         raise ValueError(f"variant must be one of {sorted(PROMPTS)}, not {variant!r}")
-    before, after = PROMPTS[variant].split("{context}")
+    before, after = (wording or PROMPTS[variant]).split("{context}")
     middle, end = after.split("{question}")
     rows = questions.select("qid", "text").join(made, "qid")
     return rows.select(
@@ -80,6 +80,28 @@ def generate(prompted: DataFrame, model: Callable[[list[str]], list[str]], batch
     return prompted.select("qid", "prompt").mapInPandas(run, "qid string, answer string")
 
 
+def span_answers(questions: DataFrame, made: DataFrame, reader: Callable[[list[str], list[str]], list[tuple[str, float]]], batch: int = 16) -> DataFrame:
+    """(``qid``, ``answer``, ``score``, ``doc_id``): the best span of each question's passages by a reader function.
+
+    ``reader`` takes questions and passages of equal number and gives a span and its score
+    for each. Of equal scores the earlier passage counts; a question without passages has no row.
+    """
+    pairs = questions.select("qid", F.coalesce("text", F.lit("")).alias("question")).join(made, "qid")
+    pairs = pairs.select("qid", "question", "context_ids", F.posexplode("passages").alias("pos", "passage"))
+    pairs = pairs.select("qid", "question", "pos", F.element_at("context_ids", F.col("pos") + 1).alias("doc_id"), "passage")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            q, p = part["question"].tolist(), part["passage"].tolist()
+            out = [x for i in range(0, len(q), batch) for x in reader(q[i : i + batch], p[i : i + batch])]
+            yield part[["qid", "pos", "doc_id"]].assign(answer=[a for a, _ in out], score=[float(s) for _, s in out])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    spans = pairs.mapInPandas(run, f"qid {kinds['qid']}, pos int, doc_id {kinds['doc_id']}, answer string, score double")
+    best = spans.groupBy("qid").agg(F.max_by(F.struct("answer", "score", "doc_id"), F.struct("score", -F.col("pos"))).alias("_b"))
+    return best.select("qid", "_b.answer", "_b.score", "_b.doc_id")
+
+
 def length_report(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row: mean words of both, their ratio and a flag for answers too short or too long."""
     a = gold.agg(F.avg(word_count(F.col("answer"))).alias("_g"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,67 +61,110 @@ def query_weights(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return made.select("qid", F.transform("_i", lambda x: x["term"]).alias("terms"), F.transform("_i", lambda x: x["w"]).alias("weights"))
 
 
-def _ranker(shared, settings: list[tuple[float, float]], avgdl: float, top_k: int):
-    def rank(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Cells (query, document) that a task scores at once.
+CELLS = 4_000_000
+
+
+class _Best:
+    """The best k documents of each query (by number) seen so far in a task."""
+
+    def __init__(self, k: int):
+        self.k, self.kept, self.rows = k, [], 0
+
+    def add(self, scores: np.ndarray, names: np.ndarray, positive: bool) -> None:
+        """Rows of ``scores`` are queries, columns the documents ``names``; all that tie with the last place stay until they are ordered."""
+        mask = scores > 0 if positive else np.ones(scores.shape, bool)
+        if scores.shape[1] > self.k:
+            mask &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
+        q, d = np.nonzero(mask)
+        self._cut(q, names[d], scores[q, d])
+
+    def _cut(self, q: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        self.kept.append((q, names, scores))
+        self.rows += len(q)
+        if len(self.kept) > 1 and self.rows > 2 * CELLS // 8:
+            self.kept = [self.best()]
+            self.rows = len(self.kept[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, names, scores = (np.concatenate(x) for x in zip(*self.kept))
+        _, order = np.unique(names, return_inverse=True)
+        at = np.lexsort((order, -scores, q))
+        q, names, scores = q[at], names[at], scores[at]
+        begins = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(begins, np.diff(begins, append=len(q)))
+        kept = place < self.k
+        return q[kept], names[kept], scores[kept]
+
+
+def _ranker(shared, settings: list[tuple[float, float]], avgdl: float, top_k: int, digits: int | None):
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
-        wanted = {t for _, terms, _ in asked for t in terms}
-        for part in parts:
-            names = part["doc_id"].to_numpy()
-            order = np.argsort(np.argsort(names))
-            length = np.array([len(t) for t in part["tokens"]], dtype=np.float64)
-            found: dict[str, list[tuple[int, int]]] = {}
-            for i, tokens in enumerate(part["tokens"]):
-                for t, n in Counter(tokens).items():
-                    if t in wanted:
-                        found.setdefault(t, []).append((i, n))
-            lists = {t: np.array(x).T for t, x in found.items()}
-            for k1, b in settings:
-                damp = k1 * (1 - b + b * length / avgdl)
-                impact = {t: (at, n * (k1 + 1) / (n + damp[at])) for t, (at, n) in lists.items()}
-                out: list[tuple] = []
-                for qid, terms, weights in asked:
-                    score = np.zeros(len(names))
-                    for t, w in zip(terms, weights):
-                        if t in impact:
-                            at, x = impact[t]
-                            score[at] += w * x
-                    score = np.round(score, 6)
-                    at = np.flatnonzero(score > 0)
-                    if len(at) > top_k:
-                        # All that tie with the last place stay until they are ordered.
-                        at = at[score[at] >= np.partition(score[at], -top_k)[-top_k]]
-                    at = at[np.lexsort((order[at], -score[at]))][:top_k]
-                    out.append((qid, names[at], score[at]))
-                if out:
-                    yield pd.DataFrame(
-                        {
-                            "k1": k1, "b": b, "qid": np.repeat(np.array([q for q, _, _ in out], dtype=object), [len(x) for _, x, _ in out]),
-                            "doc_id": np.concatenate([x for _, x, _ in out]), "score": np.concatenate([x for _, _, x in out]),
-                        }
-                    )
+        terms = sorted({t for _, own, _ in asked for t in own})
+        number = {t: i for i, t in enumerate(terms)}
+        flat = sorted((number[t], q, w) for q, (_, own, weights) in enumerate(asked) for t, w in zip(own, weights))
+        at_term = np.array([t for t, _, _ in flat], np.int64)
+        of_query, weight = np.array([q for _, q, _ in flat], np.int64), np.array([w for _, _, w in flat])
+        lookup, step = pa.array(terms, pa.string()), max(CELLS // max(len(asked), 1), 1)
+        best = {setting: _Best(top_k) for setting in settings}
+        kind = None
+        for whole in batches if asked else ():
+            kind = whole.column("doc_id").type
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                lists = batch.column("tokens")
+                found = pc.index_in(lists.flatten(), value_set=lookup)
+                held = pc.is_valid(found).to_numpy(zero_copy_only=False)
+                docs = pc.list_parent_indices(lists).to_numpy()[held]
+                # Postings in the order of terms: equal documents are summed in the same order wherever they lie.
+                keys, n = np.unique(found.drop_null().to_numpy().astype(np.int64) * batch.num_rows + docs, return_counts=True)
+                term, doc = keys // batch.num_rows, keys % batch.num_rows
+                length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+                names = np.array(batch.column("doc_id").to_pylist(), dtype=object)
+                cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+                low, high = np.searchsorted(at_term, term[cuts[:-1]]), np.searchsorted(at_term, term[cuts[:-1]], side="right")
+                for k1, b in settings:
+                    impact = n * (k1 + 1) / (n + k1 * (1 - b + b * length[doc] / avgdl))
+                    scores = np.zeros((len(asked), batch.num_rows))
+                    for i, j, x, y in zip(cuts[:-1], cuts[1:], low, high):
+                        scores[of_query[x:y, None], doc[None, i:j]] += weight[x:y, None] * impact[None, i:j]
+                    best[k1, b].add(scores if digits is None else np.round(scores, digits), names, True)
+        for (k1, b), own in best.items():
+            if not own.kept:
+                continue
+            q, names, scores = own.best()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(q), k1)), pa.array(np.full(len(q), b)), pa.array([asked[x][0] for x in q]),
+                    pa.array(names.tolist(), kind), pa.array(scores),
+                ],
+                names=["k1", "b", "qid", "doc_id", "score"],
+            )
 
     return rank
 
 
 def bm25_search(
-    index: DataFrame, queries: DataFrame, settings: list[tuple[float, float]] = ((1.2, 0.75),), top_k: int = 100, block: int = 4096
+    index: DataFrame, queries: DataFrame, settings: list[tuple[float, float]] = ((1.2, 0.75),), top_k: int = 100, block: int = 4096, digits: int | None = None
 ) -> DataFrame:
     """(``k1``, ``b``, ``qid``, ``doc_id``, ``score``, ``rank``): the top k of each query with a positive score, per setting.
 
-    The index lies by document, so a document's whole score is made in one task; a task
-    keeps its own top k, and only these are shuffled, not one row per match. The queries
-    go in blocks of at most ``block``, each broadcast once with its terms' weights. One
-    pass over the index serves a whole grid of settings.
+    The index lies by document, so a document's whole score is made in one task. A task
+    multiplies the postings of its documents with the queries' weights, term by term, and
+    sends on its top k of all its documents: k rows per task and query. The queries go in
+    blocks of at most ``block``, each broadcast once with its terms' weights. One pass over
+    the index serves a whole grid of settings. ``digits`` rounds scores before they are
+    compared, for those who want near scores to tie.
     """
     spark = index.sparkSession
-    settings = list(settings)
+    settings = [(float(k1), float(b)) for k1, b in settings]
     n, avgdl = corpus_size(index)
     rows, made = [], []
 
     def search(rows: list) -> DataFrame:
         shared = spark.sparkContext.broadcast([(r["qid"], r["terms"], r["weights"]) for r in rows])
         kinds = f"k1 double, b double, qid {queries.schema['qid'].dataType.simpleString()}, doc_id {index.schema['doc_id'].dataType.simpleString()}, score double"
-        return index.select("doc_id", "tokens").mapInPandas(_ranker(shared, settings, avgdl, top_k), kinds)
+        return index.select("doc_id", "tokens").mapInArrow(_ranker(shared, settings, avgdl, top_k, digits), kinds)
 
     for r in query_weights(index, queries, n).toLocalIterator():  # a block at a time
         rows.append(r)
@@ -132,23 +176,42 @@ def bm25_search(
     return ranked(reduce(DataFrame.unionByName, made), ["k1", "b", "qid"], top_k)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top_k: int = 100) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top_k: int = 100, digits: int | None = None) -> DataFrame:
     """(``qid``, ``doc_id``, ``score``, ``rank``) of one setting."""
-    return bm25_search(cut(token_index(corpus)), queries, [(k1, b)], top_k).drop("k1", "b")
+    return bm25_search(cut(token_index(corpus)), queries, [(k1, b)], top_k, digits=digits).drop("k1", "b")
 
 
-def dense_search(docs: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10, block: int = 4096) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 64, unit: bool = True) -> DataFrame:
+    """(``key``, ``vector``) by an encoder function over batches of texts, of length one with ``unit``; a null text counts as empty.
+
+    The function is shipped to the tasks; it may load its model on its first call there.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            texts = part["_text"].tolist()
+            for i in range(0, len(texts), batch):
+                made = np.asarray(encoder(texts[i : i + batch]), dtype=np.float64)
+                if unit:
+                    made = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({key: part[key].iloc[i : i + batch].to_numpy(), "vector": list(made)})
+
+    return df.select(key, F.coalesce(text, F.lit("")).alias("_text")).mapInPandas(run, f"`{key}` {kind}, vector array<double>")
+
+
+def dense_search(docs: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10, block: int = 4096, digits: int | None = None) -> DataFrame:
     """Exact top k by inner product: (``qid``, ``doc_id``, ``score``, ``rank``).
 
     The queries go in blocks of at most ``block`` vectors, each broadcast once; every task
-    multiplies its documents with a block and keeps its own top k, so that only top k rows
-    per task and query are shuffled. Non-positive scores stay. Null vectors do not exist.
+    multiplies its documents with a block and sends on its top k of all its documents, so
+    that only these rows are shuffled. Non-positive scores stay. Null vectors do not exist.
+    ``digits`` rounds scores before they are compared.
     """
     spark = docs.sparkSession
     some = docs.select(F.col(key).alias("doc_id"), F.col(vector).alias("v")).dropna()
     asked = queries.select(F.col(key).alias("qid"), F.col(vector).alias("v")).dropna()
     kind = docs.schema[key].dataType.simpleString()
-    runs: DataFrame | None = None
     rows, made = [], []
 
     def search(rows: list) -> DataFrame:
@@ -157,15 +220,16 @@ def dense_search(docs: DataFrame, queries: DataFrame, key: str, vector: str, top
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, q = shared.value
-            for part in parts:
-                if not len(part):
-                    continue
-                scores = np.round(q @ np.vstack(part["v"].to_numpy()).astype(np.float64).T, 4)
-                own = part["doc_id"].to_numpy()
-                k = min(top_k, len(own))
-                for i, name in enumerate(names):
-                    at = np.lexsort((own, -scores[i]))[:k]
-                    yield pd.DataFrame({"qid": name, "doc_id": own[at], "score": scores[i][at]})
+            best = _Best(top_k)
+            step = max(CELLS // len(names), 1)
+            for whole in parts:
+                for start in range(0, len(whole), step):
+                    part = whole.iloc[start : start + step]
+                    scores = q @ np.vstack(part["v"].to_numpy()).astype(np.float64).T
+                    best.add(scores if digits is None else np.round(scores, digits), part["doc_id"].to_numpy(), False)
+            if best.kept:
+                at, found, scores = best.best()
+                yield pd.DataFrame({"qid": [names[i] for i in at], "doc_id": found, "score": scores})
 
         return some.mapInPandas(run, f"qid {kind}, doc_id {kind}, score double")
 
@@ -174,8 +238,8 @@ def dense_search(docs: DataFrame, queries: DataFrame, key: str, vector: str, top
         if len(rows) == block:
             made.append(search(rows))
             rows = []
-    if rows or not made:
-        made.append(search(rows) if rows else some.select(F.col("doc_id").alias("qid"), "doc_id", F.lit(0.0).alias("score")).limit(0))
-    for m in made:
-        runs = m if runs is None else runs.unionByName(m)
-    return ranked(runs, ["qid"], top_k)
+    if rows:
+        made.append(search(rows))
+    if not made:
+        made.append(some.select(F.col("doc_id").alias("qid"), "doc_id", F.lit(0.0).alias("score")).limit(0))
+    return ranked(reduce(DataFrame.unionByName, made), ["qid"], top_k)

@@ -21,9 +21,10 @@ def f_measure(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def _tokens(text: str | None) -> list[str]:
-    """The metric's tokens, as rouge_tokens makes them."""
-    return TOKENS((text or "").lower())
+def _tokens(text: str | None, stems: bool = False) -> list[str]:
+    """The metric's tokens, as rouge_tokens makes them; with ``stems`` those of more than three letters by their stem."""
+    words = TOKENS((text or "").lower())
+    return [stem(w) if len(w) > 3 else w for w in words] if stems else words
 
 
 def _counts(hits: Callable[[str | None, str | None], tuple[int, int, int]]) -> Callable[..., Column]:
@@ -46,14 +47,14 @@ def _scores(df: DataFrame, key: str, counts: Column) -> DataFrame:
     )
 
 
-def rouge_n(df: DataFrame, key: str, target: str, prediction: str, n: int = 1) -> DataFrame:
+def rouge_n(df: DataFrame, key: str, target: str, prediction: str, n: int = 1, stems: bool = False) -> DataFrame:
     """(``key``, ``precision``, ``recall``, ``fmeasure``): clipped overlap of n-grams.
 
     The multisets are counted per Arrow batch; texts are neither exploded nor shuffled.
     """
 
     def hits(a: str | None, b: str | None) -> tuple[int, int, int]:
-        t, p = (Counter(zip(*(x[i:] for i in range(n)))) for x in (_tokens(a), _tokens(b)))
+        t, p = (Counter(zip(*(x[i:] for i in range(n)))) for x in (_tokens(a, stems), _tokens(b, stems)))
         return (t & p).total(), max(t.total(), 1), max(p.total(), 1)
 
     return _scores(df, key, _counts(hits)(F.col(target), F.col(prediction)))
@@ -72,55 +73,58 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def _lcs_places(ref: list, other: list) -> list[int]:
-    """Places in ref of one longest common subsequence; at equal lengths the walk back goes up."""
-    m, n = len(ref), len(other)
-    table = np.zeros((m + 1, n + 1), dtype=np.int32)
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            table[i, j] = table[i - 1, j - 1] + 1 if ref[i - 1] == other[j - 1] else max(table[i - 1, j], table[i, j - 1])
-    i, j, out = m, n, []
-    while i and j:
-        if ref[i - 1] == other[j - 1]:
-            out.append(i - 1)
-            i, j = i - 1, j - 1
-        elif table[i, j - 1] > table[i - 1, j]:
-            j -= 1
-        else:
+def lcs_places(a: list, b: list) -> list[int]:
+    """Places in a of one longest common subsequence, falling.
+
+    Bit-parallel: column j of the table of lengths is kept as the set of places of a at which
+    the length grows, one number per item of b. Walking back from the ends, equal items are
+    taken; else where the length grows at the present place it does so without the item of b,
+    which is left; else the item of a is left.
+    """
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | (1 << i)
+    full = v = (1 << len(a)) - 1
+    grows = []
+    for y in b:
+        u = v & where.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+        grows.append(full ^ v)
+    out, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        below = (2 << i) - 1
+        # The next place to stop at: an equal item, or growth.
+        i = ((where.get(b[j], 0) | grows[j]) & below).bit_length() - 1
+        if i < 0:
+            break
+        if a[i] == b[j]:
+            out.append(i)
             i -= 1
+        j -= 1
     return out
 
 
 def lsum_hits(targets: list[list], predictions: list[list]) -> int:
-    """Union-LCS hits over sentences, each token counted at most as often as both sides hold it."""
-    ref, pred = Counter(t for s in targets for t in s), Counter(t for s in predictions for t in s)
-    hits = 0
-    for sentence in targets:
-        union = sorted({i for other in predictions for i in _lcs_places(sentence, other)})
-        for i in union:
-            t = sentence[i]
-            if ref[t] > 0 and pred[t] > 0:
-                hits += 1
-                ref[t] -= 1
-                pred[t] -= 1
-    return hits
-
-
-def rouge_l(df: DataFrame, key: str, target: str, prediction: str) -> DataFrame:
+    """Items of the targets in the union of their subsequences with all predictions, each as often as the predictions hold it."""
+    union = Counter(s[i] for s in targets for i in {i for other in predictions for i in lcs_places(s, other)})
+    return (union & Counter(t for s in predictions for t in s)).total()
+
+
+def rouge_l(df: DataFrame, key: str, target: str, prediction: str, stems: bool = False) -> DataFrame:
     """(``key``, ``precision``, ``recall``, ``fmeasure``) by the longest common subsequence."""
 
     def hits(a: str | None, b: str | None) -> tuple[int, int, int]:
-        t, p = _tokens(a), _tokens(b)
+        t, p = _tokens(a, stems), _tokens(b, stems)
         return lcs_length(t, p), len(t), len(p)
 
     return _scores(df, key, _counts(hits)(F.col(target), F.col(prediction)))
 
 
-def rouge_lsum(df: DataFrame, key: str, target: str, prediction: str) -> DataFrame:
+def rouge_lsum(df: DataFrame, key: str, target: str, prediction: str, stems: bool = False) -> DataFrame:
     """ROUGE-L over the lines of both texts."""
 
     def hits(a: str | None, b: str | None) -> tuple[int, int, int]:
-        t, p = ([w for w in map(_tokens, (x or "").split("\n")) if w] for x in (a, b))
+        t, p = ([w for line in (x or "").split("\n") if (w := _tokens(line, stems))] for x in (a, b))
         return lsum_hits(t, p), sum(map(len, t)), sum(map(len, p))
 
     return _scores(df, key, _counts(hits)(F.col(target), F.col(prediction)))
@@ -131,6 +135,15 @@ def best_of(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(F.max(F.struct("fmeasure", "precision", "recall")).alias("_b")).select(key, "_b.precision", "_b.recall", "_b.fmeasure")
 
 
+# Suffixes of the second and the third step and what replaces them, longest first.
+SECOND = (
+    ("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"),
+    ("ousli", "ous"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"),
+    ("alli", "al"), ("ator", "ate"), ("eli", "e"),
+)
+THIRD = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", ""))
+
+
 def stem(word: str) -> str:
     """Porter's stem of a lower-case word."""
     if len(word) <= 2 or not word.isascii():
@@ -153,11 +166,11 @@ def stem(word: str) -> str:
         n = len(w)
         return n > 2 and consonant(w, n - 1) and not consonant(w, n - 2) and consonant(w, n - 3) and w[-1] not in "wxy"
 
-    def swap(w: str, rules: str, least: int) -> str:
-        for old, new in (r.split(">") for r in rules.split()):
+    def swap(w: str, rules: tuple[tuple[str, str], ...]) -> str:
+        for old, new in rules:
             if w.endswith(old):
                 base = w[: len(w) - len(old)]
-                return base + new if measure(base) > least else w
+                return base + new if measure(base) > 0 else w
         return w
 
     w = word
@@ -180,9 +193,7 @@ def stem(word: str) -> str:
                 break
     if w.endswith("y") and vowel(w[:-1]):
         w = w[:-1] + "i"
-    # Suffixes and what replaces them, longest first.
-    w = swap(w, "ational>ate ization>ize iveness>ive fulness>ful ousness>ous tional>tion biliti>ble entli>ent ousli>ous ation>ate alism>al aliti>al iviti>ive enci>ence anci>ance izer>ize abli>able alli>al ator>ate eli>e", 0)
-    w = swap(w, "icate>ic ative> alize>al iciti>ic ical>ic ness> ful>", 0)
+    w = swap(swap(w, SECOND), THIRD)
     for end in ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"):
         if w.endswith(end):
             base = w[: -len(end)]
@@ -194,11 +205,13 @@ def stem(word: str) -> str:
     return w[:-1] if measure(w) > 1 and double(w) and w[-1] == "l" else w
 
 
-def meteor_score(reference: str, hypothesis: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR with exact and stem matches; no synonym stage (it needs a word net)."""
+def meteor_score(
+    reference: str, hypothesis: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, sense: Callable[[str], str] | None = None
+) -> float:
+    """METEOR with exact and stem matches, then by ``sense``: a function that gives words of one meaning the same name."""
     ref, hyp = (reference or "").lower().split(), (hypothesis or "").lower().split()
     free_r, free_h, pairs = list(enumerate(ref)), list(enumerate(hyp)), []
-    for form in (str, stem):
+    for form in (str, stem, *([sense] if sense else [])):
         places: dict[str, list[int]] = {}
         for i, w in free_r:
             places.setdefault(form(w), []).append(i)
@@ -218,10 +231,12 @@ def meteor_score(reference: str, hypothesis: str, alpha: float = 0.9, beta: floa
     return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (chunks / m) ** beta)
 
 
-def meteor(df: DataFrame, key: str, target: str, prediction: str) -> DataFrame:
+def meteor(df: DataFrame, key: str, target: str, prediction: str, sense: Callable[[str], str] | None = None) -> DataFrame:
+    """(``key``, ``meteor``); see meteor_score."""
+
     @pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([meteor_score(x, y) for x, y in zip(a, b)])
+        return pd.Series([meteor_score(x, y, sense=sense) for x, y in zip(a, b)])
 
     return df.select(key, F.round(score(F.col(target), F.col(prediction)), 6).alias("meteor"))
 

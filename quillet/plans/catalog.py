@@ -195,7 +195,7 @@ def corpus_size_by_granularity(spark, d):
 
 @query(with_sql("docs", "bm25:docs") + "SELECT qid, doc_id, rank, score FROM found WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return retrieval.bm25(v.documents(spark, d), v.questions(spark, d), top_k=10).select("qid", "doc_id", "rank", "score")
+    return retrieval.bm25(v.documents(spark, d), v.questions(spark, d), top_k=10, digits=6).select("qid", "doc_id", "rank", "score")
 
 
 _GRID_SQL = "SELECT k1, b, qid, doc_id, round(sum(w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score FROM matches, sizes, (VALUES (0.9), (1.2), (1.5), (2.0)) AS x(k1), (VALUES (0.3), (0.5), (0.75), (0.9)) AS y(b) GROUP BY ALL"
@@ -208,7 +208,7 @@ _GRID_SQL = "SELECT k1, b, qid, doc_id, round(sum(w * tf * (k1 + 1) / (tf + k1 *
 )
 def bm25_grid(spark, d):
     grid = [(k1, b) for k1 in (0.9, 1.2, 1.5, 2.0) for b in (0.3, 0.5, 0.75, 0.9)]
-    made = retrieval.bm25_search(cut(retrieval.token_index(v.documents(spark, d))), v.questions(spark, d), grid)
+    made = retrieval.bm25_search(cut(retrieval.token_index(v.documents(spark, d))), v.questions(spark, d), grid, digits=6)
     return metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), made, ks=(10,), by=("k1", "b")).select("k1", "b", "recall_10")
 
 
@@ -225,7 +225,7 @@ for _how, _f in (("max", "max"), ("sum", "sum"), ("mean", "avg")):
     @query(_parts_sql(_f), f"bm25_article_{_how}")
     def _aggregated(spark, d, how=_how):
         arts = cut(v.articles(spark, d))
-        return chunk.aggregate_to_parent(retrieval.bm25(arts, v.questions(spark, d)), arts, how)
+        return chunk.aggregate_to_parent(retrieval.bm25(arts, v.questions(spark, d), digits=6), arts, how)
 
 
 @query(
@@ -236,7 +236,7 @@ for _how, _f in (("max", "max"), ("sum", "sum"), ("mean", "avg")):
 def dense_topk(spark, d):
     """The stated query set, every id divisible by 100, against all rows."""
     rows = v.table(spark, d, "embeddings").select("vec_id", "embedding")
-    return retrieval.dense_search(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return retrieval.dense_search(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, digits=4)
 
 
 # --- fusion and reranking
@@ -249,7 +249,7 @@ _PLACED = "SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid O
     with_sql(*_FOUR, s="SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM {r}" for r in _FOUR) + ") GROUP BY ALL") + _PLACED.format("s")
 )
 def rrf(spark, d):
-    return fusion.rrf([v.all_runs(spark, d, k) for k in v.KINDS])
+    return fusion.rrf([v.all_runs(spark, d, k) for k in v.KINDS], digits=9)
 
 
 _SCALES = {
@@ -269,7 +269,7 @@ for _m in _SCALES:
 
     @query(_weighted_sql(_m), f"weighted_{_m}")
     def _weighted(spark, d, method=_m):
-        return fusion.weighted([v.all_runs(spark, d, k) for k in v.KINDS], list(_WEIGHTS), method)
+        return fusion.weighted([v.all_runs(spark, d, k) for k in v.KINDS], list(_WEIGHTS), method, digits=9)
 
 
 _STEPS = [i / 10 for i in range(11)]
@@ -287,7 +287,7 @@ _STEPS = [i / 10 for i in range(11)]
     + f"SELECT w, {R6('sum(h100 * 1.0 / g) / (SELECT count(*) FROM dev)')} AS recall_100, {R6('sum(h10 * 1.0 / g) / (SELECT count(*) FROM dev)')} AS recall_10, {R6('sum(CASE WHEN f <= 10 THEN 1.0::DOUBLE / f ELSE 0 END) / (SELECT count(*) FROM dev)')} AS mrr_10 FROM hits GROUP BY w"
 )
 def fusion_weight_sweep(spark, d):
-    made = fusion.sweep_weights(v.run(spark, d, "dense"), v.run(spark, d, "bm25"), _STEPS)
+    made = fusion.sweep_weights(v.run(spark, d, "dense"), v.run(spark, d, "bm25"), _STEPS, digits=9)
     return metrics.rank_metrics(v.questions(spark, d), v.gold(spark, d), made, ks=(10, 100), by=("w",)).select("w", "recall_100", "recall_10", "mrr_10")
 
 
@@ -579,7 +579,7 @@ def data_facts(spark, d):
 )
 def retrieve_and_score(spark, d):
     """Articles of whole documents, ranked, collapsed, cut and scored."""
-    return pipelines.retrieve_and_score(v.documents(spark, d).select("doc_id", "text", "title"), v.questions(spark, d), "article")[2]
+    return pipelines.retrieve_and_score(v.documents(spark, d).select("doc_id", "text", "title"), v.questions(spark, d), "article", digits=6)[2]
 
 
 @query(
@@ -590,7 +590,7 @@ def retrieve_and_score(spark, d):
     ).rstrip() + ", " + _rank_sql("placed", _ranks((10, 100)), "w_dense")
 )
 def hybrid_sweep(spark, d):
-    return pipelines.hybrid(v.run(spark, d, "dense"), v.run(spark, d, "bm25"), v.questions(spark, d))
+    return pipelines.hybrid(v.run(spark, d, "dense"), v.run(spark, d, "bm25"), v.questions(spark, d), digits=9)
 
 
 @query(

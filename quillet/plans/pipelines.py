@@ -32,7 +32,7 @@ def unlabelled(queries: DataFrame) -> bool:
 
 def retrieve_and_score(
     corpus: DataFrame, queries: DataFrame, granularity: str = "document", k1: float = 1.2, b: float = 0.75, depth: int = 100,
-    aggregate: str = "max", rule: str = "top_k", value: float | None = 5,
+    aggregate: str = "max", rule: str = "top_k", value: float | None = 5, digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Chunk, index, rank, collapse to documents after the cut at ``depth``, cut, score: (run, predictions, scores).
 
@@ -40,7 +40,7 @@ def retrieve_and_score(
     Scores are None for an unlabelled set.
     """
     parts = cut(chunk.build_corpus(corpus, granularity))
-    run = retrieval.bm25(parts, queries, k1, b, depth)
+    run = retrieval.bm25(parts, queries, k1, b, depth, digits)
     if granularity != "document":
         run = chunk.aggregate_to_parent(run, parts, aggregate, depth)
     run = cut(run)
@@ -52,22 +52,26 @@ def retrieve_and_score(
 
 
 def grid_search(index: DataFrame, queries: DataFrame, k1s: list[float], bs: list[float], by: str = "recall_10") -> DataFrame:
-    """All settings of BM25 with their rank metrics, the best by ``by``, then by precision, first."""
+    """All settings of BM25 with their rank metrics, the best by ``by``, then by precision, first.
+
+    ``official`` stands for recall_5, the recall of the first five documents, which the cap lets through.
+    """
+    by = "recall_5" if by == "official" else by
     made = retrieval.bm25_search(index, queries, [(k1, b) for k1 in k1s for b in bs])
     scored = metrics.rank_metrics(queries, qrels(queries), made, by=("k1", "b"))
     return scored.orderBy(F.col(by).desc(), F.col("precision_5").desc(), "k1", "b")
 
 
 def hybrid(
-    dense: DataFrame, lexical: DataFrame, queries: DataFrame, method: str = "rrf", weights: tuple[float, ...] = (0.2, 0.4, 0.5, 0.6, 0.8), top_k: int = 100
+    dense: DataFrame, lexical: DataFrame, queries: DataFrame, method: str = "rrf", weights: tuple[float, ...] = (0.2, 0.4, 0.5, 0.6, 0.8), top_k: int = 100, digits: int | None = None
 ) -> DataFrame:
     """(``w_dense``, rank metrics) of the fusions; a best weight at an end says that one run adds nothing."""
     gold = qrels(queries)
     if method == "rrf":
-        parts = [fusion.rrf([dense, lexical], [w, 1 - w], top_k=top_k).withColumn("w", F.lit(float(w))) for w in weights]
+        parts = [fusion.rrf([dense, lexical], [w, 1 - w], top_k=top_k, digits=digits).withColumn("w", F.lit(float(w))) for w in weights]
         made = reduce(DataFrame.unionByName, parts)
     else:
-        made = fusion.sweep_weights(dense, lexical, list(weights), top_k, method)
+        made = fusion.sweep_weights(dense, lexical, list(weights), top_k, method, digits)
     return metrics.rank_metrics(queries, gold, made, (10, top_k), by=("w",)).withColumnRenamed("w", "w_dense").orderBy(F.col(f"recall_{top_k}").desc(), "w_dense")
 
 

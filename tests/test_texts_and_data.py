@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 
 import pytest
@@ -85,12 +86,29 @@ def test_answers(spark):
 
 
 def test_run_log(spark, tmp_path):
-    path = str(tmp_path / "runs.csv")
+    folder = str(tmp_path / "runs")
     for i, (x, y) in enumerate(((0.5, 0.48), (0.6, 0.59), (0.7, 0.71))):
-        row = runs.log_run(path, {"run_id": f"r{i}", "dev_official": x, "extra": 1})
-        assert row["notes"] == "extra=1" and row["dev_official"] == f"{x:.4f}"
-        assert runs.update_leaderboard(path, f"r{i}", y) == 1
-    assert runs.correlation(spark.read.csv(path, header=True)).first().verdict == "healthy"
+        runs.append_run(spark, folder, run_id=f"r{i}", dev_official=x, machine="m", notes="first" if i else None)
+        runs.set_leaderboard(spark, folder, f"r{i}", 0.0)
+        runs.set_leaderboard(spark, folder, f"r{i}", y)
+    log = runs.read_log(spark, folder)
+    rows = {r.run_id: r for r in log.collect()}
+    assert log.columns == list(runs.FIELDS) and len(rows) == 3 and rows["r1"].leaderboard == "0.59" and rows["r1"].dev_official == "0.6"
+    assert rows["r0"].notes == "machine: m" and rows["r1"].notes == "first, machine: m" and rows["r2"].date
+    assert runs.correlation(log).first().verdict == "healthy"
+    runs.write_log_csv(log, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == list(runs.FIELDS)
+
+
+def test_config(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text('{"a": {"b": 1, "c": [1]}, "d": "x"}')
+    made = runs.load_config(str(path), ["a.b=2", "a.e.f=true", "d=some text", "g.h=[1, 2]", "a.c={}"])
+    assert made == {"a": {"b": 2, "c": {}, "e": {"f": True}}, "d": "some text", "g": {"h": [1, 2]}}
+    assert runs.load_config(str(path)) == {"a": {"b": 1, "c": [1]}, "d": "x"}
+
+
+def test_registry_and_freeze(spark, tmp_path):
     reg = runs.Registry()
     reg.add(runs.Model("m", 10, 512))
     reg.add(runs.Model("n", 10, 512, approved=False))
@@ -102,6 +120,118 @@ def test_run_log(spark, tmp_path):
     assert runs.replay(frozen, spark, {"s": lambda c: c["a"]}) == [1]
 
 
+def table_walk(a, b):
+    """The places by the whole table, cell by cell; at equal lengths up."""
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif size[i][j - 1] > size[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def test_common_subsequences():
+    rng = random.Random(17)
+    for _ in range(800):
+        a, b = ([rng.choice("uvwx") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        assert textgen.lcs_places(a, b) == table_walk(a, b) and textgen.lcs_length(a, b) == len(table_walk(a, b))
+
+
+def test_stems_and_senses(spark):
+    pairs = {"relational": "relat", "conditional": "condit", "hopping": "hop", "probate": "probat", "electrical": "electr", "flies": "fli", "sky": "sky", "generalizations": "gener"}
+    assert {w: textgen.stem(w) for w in pairs} == pairs
+    df = spark.createDataFrame([("1", "he runs quickly", "he running fast")], "k string, t string, p string")
+    assert textgen.rouge_n(df, "k", "t", "p").first().fmeasure < textgen.rouge_n(df, "k", "t", "p", stems=True).first().fmeasure
+    same = {"fast": "quickly"}
+    assert textgen.meteor(df, "k", "t", "p", lambda w: same.get(w, w)).first().meteor > textgen.meteor(df, "k", "t", "p").first().meteor
+
+
+def test_hooks(spark):
+    from quillet.operators import fusion, retrieval
+
+    docs = spark.createDataFrame([("a", "thuế đất"), ("b", "lao động"), ("c", None)], "id string, text string")
+    vowels = lambda texts: [[t.count("đ") + 1.0, t.count("o") + 1.0] for t in texts]
+    coded = retrieval.encode(docs, "id", "text", vowels, batch=2)
+    assert all(sum(x * x for x in r.vector) == pytest.approx(1) for r in coded.collect())
+    found = retrieval.dense_search(coded, coded.filter("id = 'a'"), "id", "vector", 1).first()
+    assert found.doc_id == "a" and found.score == pytest.approx(1)
+    made = spark.createDataFrame([("q", ["a", "b"], ["x y", "y z"])], "qid string, context_ids array<string>, passages array<string>")
+    q = spark.createDataFrame([("q", "z?")], "qid string, text string")
+    row = qa.span_answers(q, made, lambda asked, texts: [(t.split()[-1], float("z" in t)) for t in texts]).first()
+    assert (row.answer, row.score, row.doc_id) == ("z", 1.0, "b")
+    assert qa.prompts(q, made, wording="{context}|{question}").first().prompt.endswith("|z?")
+    base = spark.createDataFrame([(10, 0.5), (50, 0.8)], "k int, recall double")
+    runs_ = spark.createDataFrame([("x-d10", 0.4), ("y", 0.6)], "run string, recall double")
+    assert {r.run: (r.depth, r.gap, r.percent) for r in fusion.ceiling_gaps(base, runs_).collect()} == {"x-d10": (10, 0.1, 80.0), "y": (50, 0.2, 75.0)}
+
+
+def test_unrounded_scores_and_equal_documents(spark):
+    """Equal documents score the same to the last bit wherever they lie, and near scores are no ties."""
+    from quillet.operators import retrieval
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 40))) for _ in range(40)]
+    docs = spark.createDataFrame([(f"{k:03}", texts[k % 40]) for k in range(400)], "doc_id string, text string").repartition(7)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words) for _ in range(8))) for i in range(30)], "qid string, text string")
+    found = {}
+    for r in retrieval.bm25(docs, asked, top_k=25).collect():
+        found.setdefault(r.qid, []).append((r.rank, r.doc_id, r.score))
+    for own in found.values():
+        own.sort()
+        assert own == [(i, d, s) for i, (_, d, s) in enumerate(sorted(own, key=lambda x: (-x[2], x[1])), 1)]
+        by_text = {}
+        for _, d, s in own:
+            by_text.setdefault(int(d) % 40, set()).add(s)
+        assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_hot_groups(spark):
+    """A third of all rows in one key: exact results, and no task holds the key."""
+    from pyspark.sql import functions as F
+
+    from quillet.operators import cutoff, dataset
+    from quillet.session import running_sums
+
+    df = spark.range(9000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("g"))
+    made = dataset.stratified_split(df, "k", "g").groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "dev").alias("dev")).collect()
+    assert sum(r.n for r in made) == 9000 and all(r.dev == max(1, round(r.n * 0.15)) for r in made)
+    sums = running_sums(df.withColumn("one", F.lit(1)), ["g"], [F.col("k").asc()], {"upto": "one"})
+    tops = sums.groupBy("g").agg(F.max("upto").alias("m"), F.count_distinct("upto").alias("d"), F.count("*").alias("n")).collect()
+    assert all(r.m == r.d == r.n for r in tops)
+    part = running_sums(df.withColumn("one", F.lit(1)), ["g"], [F.col("k").asc()], {"upto": "one"}).groupBy(F.spark_partition_id().alias("p"), "g").count()
+    assert part.filter("g is null").agg(F.max("count")).first()[0] < 3000
+    run = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), (F.col("id") % 400).cast("string"))).alias("qid"), F.col("id").cast("string").alias("doc_id"), (1.0 / (1 + F.col("id"))).alias("score"), F.col("id").cast("int").alias("rank"))
+    assert {len(r.predicted) for r in cutoff.apply_cutoff(run, "ratio", 0.0).collect()} == {5}
+    assert dataset.percentiles(df.select(F.col("k").cast("double").alias("x")), "x", {"p": 0.5}, [F.count("*").alias("n")]).first().p == 4500.0
+
+
+def test_raw_shapes(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("b.json", json.dumps([{"law_id": 7, "noi_dung": "Hai", "tieu_de": "T"}]))
+        z.writestr("a.json", json.dumps({"law_id": 7, "noi_dung": "Một", "tieu_de": None}))
+        z.writestr("__MACOSX/x.json", "broken")
+    made = files.ingest_corpus(files.load_raw(spark, str(tmp_path / "c.zip")))
+    assert {r.doc_id: r.text for r in made.collect()} == {"7": "Một", "7::1": "T\nHai"}
+    lines = tmp_path / "many.jsonl"
+    lines.write_text("\n".join(json.dumps({"id": "same" if i % 2 else i, "text": str(i)}) for i in range(9)))
+    got = {r.doc_id: r.text.strip() for r in files.ingest_corpus(files.load_raw(spark, str(lines))).collect()}
+    assert got["same"] == "1" and got["same::3"] == "3" and got["same::7"] == "7" and len(got) == 9
+    qs = spark.createDataFrame([("1", "?", ["7"]), ("2", "?", ["7", "8"]), ("3", "?", [])], "qid string, text string, relevant array<string>")
+    blank = spark.createDataFrame([("7", " "), ("8", "x")], "doc_id string, text string")
+    assert [r.qid for r in files.quarantine(blank, qs).collect()] == ["1"]
+
+
 def test_files(spark, tmp_path):
     raw = tmp_path / "q.json"
     raw.write_text(json.dumps({"147": {"question": "Hỏi gì?", "answer": [1, 2]}, "148": {"question": "", "answer": None}}), encoding="utf-8")
