@@ -149,7 +149,7 @@ def test_bm25_against_plain_python(spark):
         if s:
             want[k] = round(s, 6)
     assert {r.doc_id: r.score for r in retrieval.bm25(df, q, digits=6).collect()} == want
-    grid = retrieval.bm25_search(retrieval.token_index(df), q, [(1.2, 0.0), (1.2, 0.75), (2.0, 0.75)], block=1)
+    grid = retrieval.bm25_search(retrieval.token_index(df), q, [(1.2, 0.0), (1.2, 0.75), (2.0, 0.75)], block=1, digits=6)
     stats = {r.term: r.df for r in retrieval.term_stats(retrieval.postings(df), 4).collect()}
     assert stats["luật"] == 2 and stats["đất"] == 2
     assert {r.doc_id: r.score for r in grid.filter("k1 = 1.2 and b = 0.75").collect()} == want
