@@ -24,11 +24,11 @@ from quillet.session import cut
 COPY_SHARE = 0.34
 #: Level of compression; the shares hardly differ between levels.
 LEVEL = 5
-#: Contexts that other answers hold less often say nothing.
-LEAST_SEEN = 30
-#: Of contexts seen that often, those that end a sentence more rarely break an answer off, and
-#: those that end one at least so often complete an answer that only lacks its mark.
-LEAST_END, SURE_END = 0.002, 0.9
+#: Contexts that end a sentence more rarely in other answers break an answer off; they must be
+#: seen so often there that at least one end would be expected, 1 / LEAST_END times.
+LEAST_END = 0.002
+#: Contexts that end one at least so often complete an answer that only lacks its mark, if seen so often.
+SURE_END, SURE_SEEN = 0.9, 30
 #: Distinct contexts that a task counts before it sends them on.
 FLUSH = 200_000
 
@@ -336,10 +336,9 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str) -> Data
     # Exact copies are one row here, and so are all that a hot context has of them.
     answers = asked.groupBy("context", "digest", "marked").agg((F.count("*") * F.max("n")).alias("n"), (F.count("*") * F.max("ended")).alias("ended"))
     others, ends = F.col("all_n") - F.col("n"), F.col("all_ended") - F.col("ended")
-    known = others >= LEAST_SEEN
     answers = answers.join(model, "context", "left").fillna(0, ["all_n", "all_ended"])
     broken = answers.filter(
-        F.when(F.col("marked"), known & (ends < LEAST_END * others)).otherwise(~(known & (ends >= SURE_END * others)))
+        F.when(F.col("marked"), (others >= 1 / LEAST_END) & (ends < LEAST_END * others)).otherwise(~((others >= SURE_SEEN) & (ends >= SURE_END * others)))
     )
     late = asked.join(broken.select("digest").distinct(), "digest", "left_semi").withColumn("defect", F.lit("truncated"))
     return (

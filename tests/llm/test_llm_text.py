@@ -274,10 +274,12 @@ def test_defects_of_a_table(spark):
 
 def test_the_terminal_model(spark):
     inside = "Theo Điều 5, hộ gia đình phải nộp giấy chứng minh cho ủy ban và giữ giấy chứng minh tại nhà."
-    rows = [(f"s{i}", inside.replace("5", str(i))) for i in range(60)]
+    rows = [(f"s{i}", inside.replace("5", str(i))) for i in range(300)]
     # Closed by a full stop within a phrase that goes on everywhere else; three exact copies do not vouch for each other.
     rows += [(f"broken{i}", "Theo Điều 7, cá nhân phải nộp giấy chứng.") for i in range(3)]
     rows += [("bare", "Theo Điều 7, cá nhân phải nộp sổ tại nhà"), ("open", "Theo Điều 7, cá nhân phải nộp sổ rồi"), ("new", "Theo Điều 7, cá nhân phải nộp cổ vật.")]
+    # Seen forty times within sentences, which is too few to say that none ends there.
+    rows += [(f"few{i}", f"Căn cứ Nghị định {i}, cá nhân phải nộp sổ tại nhà.") for i in range(40)] + [("sound", "Hộ gia đình phải nộp sổ. Xem thêm Nghị định.")]
     df = spark.createDataFrame([(k, QUESTION, a) for k, a in rows], "qid string, text string, answer string")
     got = {tuple(r) for r in defects.defective_pairs(df, "qid", "text", "answer").collect()}
     assert got == {*((f"broken{i}", "truncated") for i in range(3)), ("open", "truncated")}
