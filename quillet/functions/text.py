@@ -20,6 +20,16 @@ def _letters() -> str:
 
 
 LETTERS = _letters()
+
+
+def _ranges(letters: str) -> str:
+    """The same class of characters by its ranges, which Java matches several times faster than single ones."""
+    codes = sorted(map(ord, set(letters)))
+    begins = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends))
+
+
 #: Open syllables whose tone mark has two customary places.
 TONE_PAIRS = (
     "oà òa", "oá óa", "oả ỏa", "oã õa", "oạ ọa", "oè òe", "oé óe", "oẻ ỏe", "oẽ õe", "oẹ ọe",
@@ -82,9 +92,9 @@ def tokens_of(normal: Column, min_len: int = 1, stopwords: bool = False, token_c
 
     ``token_class``: ``vi`` has the Vietnamese letters only, ``unicode`` every letter.
     """
-    letters = LETTERS if token_class == "vi" else r"\p{L}"
-    found = F.regexp_extract_all(normal, F.lit(f"([{letters}0-9_/.\\-]+)"), F.lit(1))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, r"^[./\-]+|[./\-]+$", ""))
+    letters = _ranges(LETTERS) if token_class == "vi" else r"\p{L}"
+    found = F.regexp_extract_all(normal, F.lit(f"[{letters}0-9_/.\\-]+"), F.lit(0))
+    bare = F.transform(found, lambda w: F.trim(w, F.lit("./-")))
     kept = F.filter(bare, lambda w: (w != "") & (F.length(w) >= min_len))
     if stopwords:
         kept = F.filter(kept, lambda w: ~w.isin(*STOPWORDS))
@@ -92,7 +102,8 @@ def tokens_of(normal: Column, min_len: int = 1, stopwords: bool = False, token_c
 
 
 def tokenize(text: Column, min_len: int = 1, stopwords: bool = False, token_class: str = "vi") -> Column:
-    return tokens_of(normalize(text), min_len, stopwords, token_class)
+    # White space is in no term, so that it need not be made one space.
+    return tokens_of(F.lower(compose(F.coalesce(text, F.lit("")))), min_len, stopwords, token_class)
 
 
 def words(text: Column) -> Column:

@@ -53,3 +53,18 @@ def test_a_grid_moves_its_lists_once():
     docs, shares = retrieval._tiles(12, 106_000_000, 92_000 * 100, 92_000)
     assert docs * retrieval.HELD >= 106_000_000 and docs * shares >= 12
     assert retrieval._tiles(12, 0, 0, 0) == (1, 1)
+
+
+def test_terms_by_ranges(spark):
+    """The class of a term's characters is made of ranges, and holds the same characters; white space need not be made one space before."""
+    from pyspark.sql import functions as F
+
+    from quillet.functions import text as tx
+
+    assert len(tx._ranges(tx.LETTERS)) < len(tx.LETTERS) / 2
+    every = spark.range(1, 0xD800).select(F.col("id"), F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    found = {chr(r.id) for r in every.filter(F.size(tx.tokens_of(F.concat(F.lit("a"), "c", F.lit("a")))) == 1).collect()}
+    assert found == {*tx.LETTERS, *"0123456789_/.-"}
+    odd = spark.createDataFrame([("  a\x85b -c-\n./d/.\t É x.y ./- ",), ("",), (None,)], "t string")
+    for r in odd.select(tx.tokenize(F.col("t")).alias("a"), tx.tokens_of(tx.normalize(F.col("t"))).alias("b")).collect():
+        assert r.a == r.b
