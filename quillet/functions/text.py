@@ -45,21 +45,22 @@ STOPWORDS = tuple(
     "và của có là được cho trong với các những này đó khi thì mà để từ đến về tại bởi hoặc nếu như một sẽ đã cũng vào ra nên".split()
 )
 ZERO_WIDTH = "[​-‏﻿­]"
-_TONE = re.compile("(" + "|".join(TONES) + ")(?![" + LETTERS + "])")
+_TONE = re.compile("[" + "".join({p[0] for p in TONES}) + "][" + "".join({p[1] for p in TONES}) + "](?![" + LETTERS + "])")
 _ZERO = re.compile(ZERO_WIDTH)
 
 
+def composed(t: str | None) -> str | None:
+    if t is None:
+        return None
+    t = _ZERO.sub("", unicodedata.normalize("NFC", t)).replace("\u00a0", " ")
+    return _TONE.sub(lambda m: TONES.get(m[0], m[0]), t)
+
+
 @pandas_udf(T.StringType())
 def compose(texts: pd.Series) -> pd.Series:
     """Precomposed form without zero-width characters, NBSP as space, tone marks in one place."""
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = _ZERO.sub("", unicodedata.normalize("NFC", t)).replace(" ", " ")
-        return _TONE.sub(lambda m: TONES[m[1]], t)
-
-    return texts.map(one, na_action="ignore")
+    return texts.map(composed, na_action="ignore")
 
 
 @pandas_udf(T.StringType())
@@ -68,6 +69,15 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+#: White space as in (?U)\\s.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space, Unicode's included, at the ends, which alone are looked at."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def blank_to_space(text: Column) -> Column:
     """Each run of white space, Unicode's included, as one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -106,6 +116,14 @@ def tokenize(text: Column, min_len: int = 1, stopwords: bool = False, token_clas
     return tokens_of(F.lower(compose(F.coalesce(text, F.lit("")))), min_len, stopwords, token_class)
 
 
+_TERM = re.compile("[" + _ranges(LETTERS) + "0-9_/.\\-]+")
+
+
+def terms(text: str | None) -> list[str]:
+    """The terms of ``tokenize`` within Python, where a text is there anyway."""
+    return [w for w in (x.strip("./-") for x in _TERM.findall(composed(text or "").lower())) if w]
+
+
 def words(text: Column) -> Column:
     """Words between white space; an empty text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.functions.text import word_count, words
+from quillet.functions.text import stripped, word_count, words
 from quillet.sources.rankings import ranked
 
 # How articles, clauses and points begin; (?iumd): case and lines as in Unicode, \n only.
@@ -25,10 +25,9 @@ def split_on(df: DataFrame, text: str, pattern: str) -> DataFrame:
     parts = df.select("*", F.posexplode(F.split(t, f"(?iumd)(?={pattern})")).alias("pos", "_piece"))
     label = F.regexp_extract("_piece", f"(?iumd)\\A{pattern[1:]}", 1)
     whole = ~t.rlike(f"(?iumd){pattern}")
-    stripped = F.regexp_replace("_piece", r"(?U)^\s+|\s+$", "")
     return (
         parts.withColumn("label", F.when(whole, "_whole").when(label == "", "_preamble").otherwise(label))
-        .withColumn("piece", F.when(whole, t).otherwise(stripped))
+        .withColumn("piece", F.when(whole, t).otherwise(stripped(F.col("_piece"))))
         .filter((F.col("label") != "_preamble") | (F.col("piece") != ""))
         .drop("_piece")
     )
@@ -65,9 +64,8 @@ def build_corpus(
         parts = parts.withColumn("_n", F.row_number().over(Window.partitionBy("parent_id", "doc_id").orderBy(*order)))
     else:
         raise ValueError(f"granularity must be document, article or clause, not {granularity!r}")
-    stripped = F.regexp_replace("piece", r"(?U)^\s+|\s+$", "")
     own = F.when(F.col("_n") > 1, F.concat("doc_id", F.lit("@"), (F.col("_n") - 1).cast("string"))).otherwise(F.col("doc_id"))
-    made = parts.withColumn("doc_id", own).withColumn("piece", stripped).filter(F.length("piece") >= min_chars)
+    made = parts.withColumn("doc_id", own).withColumn("piece", stripped(F.col("piece"))).filter(F.length("piece") >= min_chars)
     body = F.col("piece")
     if granularity != "document":
         body = F.when(F.col("title") != "", F.concat("title", F.lit("\n"), "piece")).otherwise(body)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.functions.text import tokenize
+from quillet.functions.text import terms, tokenize
 from quillet.session import cut
 from quillet.sources.rankings import ranked
 
@@ -47,19 +47,22 @@ def _narrow(numbers: np.ndarray) -> np.ndarray:
 
 
 def pack(index: DataFrame) -> DataFrame:
-    """An index of (``doc_id``, ``tokens``) as rows of up to ``PACK`` documents.
+    """An index of (``doc_id``, ``tokens``), or texts (``doc_id``, ``text``), as rows of up to ``PACK`` documents.
 
     (``docs``, ``lengths``, ``sizes``, ``terms``, ``df``, ``term``, ``tf``): terms and postings of each document
     (``lengths``, ``sizes``), the row's terms with their number of documents, and its postings by document
     and then term as numbers. Numbers are kept as bytes, headed by their type.
     """
     kind = index.schema["doc_id"].dataType.simpleString()
+    source = "tokens" if "tokens" in index.columns else "text"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, PACK):
                 batch = whole.slice(start, PACK)
-                lists = batch.column("tokens")
+                lists = batch.column(source)
+                if source == "text":
+                    lists = pa.array(map(terms, lists.to_pylist()), pa.list_(pa.string()), size=len(lists))
                 coded = lists.flatten().dictionary_encode()
                 n = max(len(coded.dictionary), 1)
                 keys, tf = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * n + coded.indices.to_numpy(), return_counts=True)
@@ -79,7 +82,7 @@ def pack(index: DataFrame) -> DataFrame:
                 )
 
     made = f"docs array<{kind}>, lengths binary, sizes binary, terms array<string>, df array<int>, term binary, tf binary, n long, n_terms long, n_postings long"
-    return index.select("doc_id", "tokens").mapInArrow(rows, made)
+    return index.select("doc_id", source).mapInArrow(rows, made)
 
 
 def query_terms(queries: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
@@ -197,10 +200,11 @@ class _Pool:
         self.floor[q] = np.maximum(self.floor[q], np.nextafter(low.astype(np.float32), np.float32(-np.inf)))
 
     def add(self, scores: np.ndarray, begin: int) -> None:
-        if not self.rows and scores.shape[1] > self.k:
-            self._raise(np.arange(len(scores)), np.partition(scores, -self.k, axis=1)[:, -self.k])
-        at = np.flatnonzero(scores >= self.floor[:, None])
-        q, d = np.divmod(at, scores.shape[1])
+        """Rows of ``scores`` are documents from ``begin``, columns the queries."""
+        if not self.rows and len(scores) > self.k:
+            self._raise(np.arange(scores.shape[1]), np.partition(np.ascontiguousarray(scores.T), -self.k, axis=1)[:, -self.k])
+        at = _found(scores >= self.floor)
+        d, q = np.divmod(at, scores.shape[1])
         self.new.append((q.astype(np.int32), (d + begin).astype(np.int32), scores.ravel()[at]))
         self.rows += len(at)
         if self.rows > 1.5 * self.last:
@@ -208,17 +212,28 @@ class _Pool:
 
     def shrink(self) -> None:
         q, d, score = (np.concatenate(x) for x in zip((self.q, self.d, self.score), *self.new))
-        order = np.lexsort((-score, q))
-        q, d, score = q[order], d[order], score[order]
-        begins = np.flatnonzero(np.diff(q, prepend=-1))
-        full = begins[np.diff(begins, append=len(q)) >= self.k]
-        self._raise(q[full], score[full + self.k - 1])
+        # Positive numbers are in the order of their bits: one number sorts by query and descending score.
+        bits = np.iinfo(np.int32).max - score.view(np.int32).astype(np.int64)
+        keys = np.sort((q.astype(np.int64) << 32) | bits)
+        begins = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
+        full = begins[np.diff(begins, append=len(keys)) >= self.k]
+        kth = np.iinfo(np.int32).max - (keys[full + self.k - 1] & 0xFFFFFFFF)
+        self._raise(keys[full] >> 32, kth.astype(np.int32).view(np.float32))
         kept = score >= self.floor[q]
         self.q, self.d, self.score, self.new = q[kept], d[kept], score[kept], []
         self.rows = len(self.q)
         self.last = max(self.rows, 1)
 
 
+def _found(mask: np.ndarray) -> np.ndarray:
+    """Where a mask that is almost empty is set, as places in its flat form; looked through by eights."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    some = np.flatnonzero(flat[:whole].view(np.uint64))
+    eight, one = np.nonzero(flat[:whole].reshape(-1, 8)[some])
+    return np.concatenate([some[eight] * 8 + one, np.flatnonzero(flat[whole:]) + whole])
+
+
 class _Block:
     """Queries ``begin`` to ``end`` against the documents of a task.
 
@@ -246,9 +261,9 @@ class _Block:
         wide = wide[heavy[wide] > ALONE * self.n * len(held)]
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[wide] = np.arange(len(wide))
-        self.matrix = np.zeros((self.n, len(wide)), np.float32)
+        self.matrix = np.zeros((len(wide), self.n), np.float32)
         own = self.column[self.term]
-        self.matrix[query[own >= 0], own[own >= 0]] = self.weight[own >= 0]
+        self.matrix[own[own >= 0], query[own >= 0]] = self.weight[own >= 0]
 
     def postings(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents (from 0), terms and their number of the documents ``begin`` to ``end``."""
@@ -261,26 +276,30 @@ class _Block:
         # Each score has as many products as the query has terms: each rounds, and so do both its factors and each sum.
         error = (np.diff(self.at) + 8) * 2.0**-24
         pools = [_Pool(self.n, k, error, digits) for _ in impact]
-        step = max(min(CELLS // self.n, 2048), 1)
-        for begin in range(0, len(self.held), step):
-            end = min(begin + step, len(self.held))
+        first, step = (max(min(x // self.n, 2048), 1) for x in (CELLS, CELLS // 4))
+        many = np.diff(self.of)
+        begin = 0
+        while begin < len(self.held):
+            # The first documents are more, for floors to begin with; later ones few, so that their scores stay in a cache.
+            end = min(begin + (step if begin else first), len(self.held))
             doc, term, tf = self.postings(begin, end)
             length = self.held.length[begin + doc]
             column = self.column[term]
             wide = np.flatnonzero(column >= 0)
+            at = doc[wide] * self.matrix.shape[0] + column[wide]
             alone = np.flatnonzero(column < 0)
-            alone = alone[np.argsort(term[alone], kind="stable")]
-            cuts = np.flatnonzero(np.diff(term[alone], prepend=-1, append=-1))
+            each = many[term[alone]]
+            places = np.arange(each.sum()) + np.repeat(self.of[term[alone]] - (each.cumsum() - each), each)
+            cell = np.repeat(doc[alone] * self.n, each) + self.of_query[places]
+            weight = self.of_weight[places]
             for pool, f in zip(pools, impact):
                 made = f(tf, length).astype(np.float32)
-                matrix = np.zeros((end - begin, self.matrix.shape[1]), np.float32)
-                matrix[doc[wide], column[wide]] = made[wide]
-                scores = self.matrix @ matrix.T
-                for i, j in zip(cuts[:-1], cuts[1:]):
-                    own, t = alone[i:j], term[alone[i]]
-                    x, y = self.of[t], self.of[t + 1]
-                    scores[self.of_query[x:y, None], doc[None, own]] += self.of_weight[x:y, None] * made[None, own]
+                matrix = np.zeros((end - begin, self.matrix.shape[0]), np.float32)
+                matrix.ravel()[at] = made[wide]
+                scores = matrix @ self.matrix
+                np.add.at(scores.ravel(), cell, np.repeat(made[alone], each) * weight)
                 pool.add(scores, begin)
+            begin = end
         return pools
 
     def exact(self, pool: _Pool, impact: Callable, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,14 +309,14 @@ class _Block:
         q, d = pool.q[order], pool.d[order]
         scores = np.zeros(len(q))
         many = np.diff(self.at)
-        step = max(min(CELLS // (len(self.terms) + 1), 2048), 1)
+        step = max(min(CELLS // 8 // (len(self.terms) + 1), 2048), 1)
+        matrix = np.zeros((min(step, len(self.held)), len(self.terms)))
         for begin in range(0, len(self.held), step):
             end = min(begin + step, len(self.held))
             lo, hi = np.searchsorted(d, [begin, end])
             if lo == hi:
                 continue
             doc, term, tf = self.postings(begin, end)
-            matrix = np.zeros((end - begin, len(self.terms)))
             matrix[doc, term] = impact(tf, self.held.length[begin + doc])
             while lo < hi:
                 n = many[q[lo:hi]].cumsum()
@@ -308,6 +327,7 @@ class _Block:
                 item = np.arange(len(pair)) - starts[pair] + self.at[own][pair]
                 scores[lo:at] = np.add.reduceat(self.weight[item] * matrix[(d[lo:at] - begin)[pair], self.term[item]], starts)
                 lo = at
+            matrix[doc, term] = 0
         if digits is not None:
             scores = np.round(scores, digits)
         order = np.lexsort((self.held.order[d], -scores, q))
@@ -406,7 +426,7 @@ def bm25_search(
 ) -> DataFrame:
     """(``k1``, ``b``, ``qid``, ``doc_id``, ``score``, ``rank``): the top k of each query with a positive score, per setting.
 
-    The index lies by document, so a document's whole score is made in one task. It is read
+    The index, or the texts (``doc_id``, ``text``), lies by document, so a document's whole score is made in one task. It is read
     once and kept as packed postings. A task holds a share of the documents and multiplies it
     with a share of the queries, in blocks of at most ``block``, and makes one list of k
     documents per query; where the documents have several shares, the lists are merged.
@@ -443,7 +463,7 @@ def bm25_search(
 
 def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top_k: int = 100, digits: int | None = None) -> DataFrame:
     """(``qid``, ``doc_id``, ``score``, ``rank``) of one setting."""
-    return bm25_search(token_index(corpus), queries, [(k1, b)], top_k, digits=digits).drop("k1", "b")
+    return bm25_search(corpus.select("doc_id", "text"), queries, [(k1, b)], top_k, digits=digits).drop("k1", "b")
 
 
 def encode(df: DataFrame, key: str, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 64, unit: bool = True) -> DataFrame:

@@ -68,3 +68,36 @@ def test_terms_by_ranges(spark):
     odd = spark.createDataFrame([("  a\x85b -c-\n./d/.\t É x.y ./- ",), ("",), (None,)], "t string")
     for r in odd.select(tx.tokenize(F.col("t")).alias("a"), tx.tokens_of(tx.normalize(F.col("t"))).alias("b")).collect():
         assert r.a == r.b
+
+
+def test_terms_within_python(spark):
+    """What makes the terms of texts that are packed, and what strips pieces, does what the expressions of Spark do, for every character."""
+    from pyspark.sql import functions as F
+
+    from quillet.functions import text as tx
+
+    every = spark.createDataFrame([(chr(i),) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000], "c string")
+    texts = every.select(F.concat(F.lit("oà"), "c", F.lit("./A"), "c", F.lit("1 "), "c").alias("t")).unionByName(spark.createDataFrame([("",), (None,), (" ./- ",), ("HÒA hoà quỳ-. 10/2019/NĐ-CP",)], "t string"))
+    for r in texts.select("t", tx.tokenize(F.col("t")).alias("want")).toLocalIterator():
+        assert tx.terms(r.t) == r.want, repr(r.t)
+    around = every.select(F.concat("c", F.lit("\n"), "c", F.lit("a"), "c", F.lit("b "), "c").alias("t"))
+    assert around.filter(tx.stripped(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).isEmpty()
+
+
+def test_pools_keep_whole_candidates():
+    """Candidates are found by eights, and floors come from one sort: all that reach the k-th score stay, in any order of documents."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, m in ((7, 13), (64, 3), (5, 40)):
+        mask = rng.random((m, n)) < 0.1
+        assert (retrieval._found(mask) == np.flatnonzero(mask)).all()
+        pool = retrieval._Pool(n, 4, np.full(n, 1e-6), 6)
+        scores = np.where(rng.random((3 * m, n)) < 0.3, 0, rng.integers(1, 9, (3 * m, n))).astype(np.float32)
+        for begin in range(0, 3 * m, m):
+            pool.add(scores[begin : begin + m], begin)
+        pool.shrink()
+        for q in range(n):
+            reached = np.sort(scores[:, q][scores[:, q] > 0])[::-1]
+            least = reached[3] if len(reached) > 3 else 1
+            assert {*pool.d[pool.q == q]} == {*np.flatnonzero(scores[:, q] >= least)}
